@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,7 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, text: str, budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that one slice holds about ``budget`` characters, and one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > budget:
