@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_codec, quality, simhash, token_counts, toxicity
+from textloom.llm import bpe_codec, embeddings, packing, quality, simhash, token_counts, toxicity
 from textloom.llm.common import table
 from textloom.llm.labelled import held_out
 
@@ -31,6 +30,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -40,5 +47,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_token_counts, op5_toxicity, op9_bpe_codec, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_token_counts, op5_toxicity, op6_embeddings, op7_packing, op9_bpe_codec, op10_simhash)}
 ORACLES: dict[str, str] = {}
