@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe_codec, embeddings, packing, quality, simhash, token_counts, toxicity
+from textloom.llm import bpe_codec, embeddings, fingerprints, packing, pii, quality, simhash, token_counts, toxicity, url_filter
 from textloom.llm.common import table
 from textloom.llm.labelled import held_out
 
@@ -14,12 +14,20 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     scored = quality.with_scores(docs, quality.train(docs, labels))
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
@@ -38,6 +46,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -47,5 +59,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_token_counts, op5_toxicity, op6_embeddings, op7_packing, op9_bpe_codec, op10_simhash)}
-ORACLES: dict[str, str] = {}
+_ALL = (op1_pii, op2_quality, op3_fingerprints, op4_token_counts, op5_toxicity, op6_embeddings, op7_packing, op8_url_filter, op9_bpe_codec, op10_simhash)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op8_url_filter": url_filter.sql()}
