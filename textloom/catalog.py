@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from textloom import queries_scan
+
 FLAGSHIP = "static_entities"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES = dict(queries_scan.QUERIES)
+ORACLES = dict(queries_scan.ORACLES)
