@@ -180,11 +180,11 @@ def _ranges(top: int, *kinds: int) -> str:
 class WordSplitter:
     """Words of the lower-cased, composed text, as the word vocabulary's own splitter takes them."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, special: dict[str, int]):
         self.latin, self.plain, self.wide = (self._pattern(top) for top in (0x100, 0x10000, 0x110000))
         self.beyond_latin, self.beyond_plane = (re.compile(f"[^\x00-{c}]").search for c in ("\xff", "\uffff"))
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")")
-        self.mark = vocabulary.special
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+        self.mark = special
 
     def __call__(self, text: str) -> list[str]:
         """Special strings come back as they stand; no word can equal one, for each of them has marks and letters."""
@@ -216,7 +216,7 @@ class WordSplitter:
 class BoundedCache(dict):
     """Values made by ``make`` on a miss; two generations, so that frequent keys stay and memory is bounded."""
 
-    def __init__(self, make, most: int = 250_000):
+    def __init__(self, make, most: int = 120_000):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
@@ -240,7 +240,7 @@ def vocabulary(path: str) -> Vocabulary:
 def word_tools(path: str) -> tuple[WordSplitter, BoundedCache, BoundedCache]:
     """The splitter; words to their ids as little-endian bytes; words to (ids, decoded) text."""
     v = vocabulary(path)
-    split, encode, decode = WordSplitter(v), Encoder(v), OffsetDecoder(v)
+    split, encode, decode = WordSplitter(v.special), Encoder(v), OffsetDecoder(v)
     end = END if v.suffix else ""
 
     def ids(word: str) -> list[int]:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textloom.llm.bpe import OffsetDecoder, vocabulary, word_tools
-from textloom.llm.common import over_slices
+from textloom.llm.common import arrow_map, over_slices
 
 
 def encode(text: str, path: str) -> list[int]:
@@ -28,7 +28,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batch: pa.RecordBatch) -> list:
         return [batch.column(0), [encode(t or "", path) for t in batch.column(1).to_pylist()]]
 
-    return docs.select(key, text).mapInArrow(over_slices(run, schema, text), f"`{key}` long, ids array<int>")
+    return arrow_map(docs.select(key, text), over_slices(run, schema, text), f"`{key}` long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,4 +52,4 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         return [batch.column(0), n, ids, decoded]
 
     out = f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(key, text).mapInArrow(over_slices(run, schema, text), out)
+    return arrow_map(docs.select(key, text), over_slices(run, schema, text), out)

@@ -29,7 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batch: pa.RecordBatch, text: str, budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def arrow_map(df: DataFrame, fn, schema: str, rows: int = 1000) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``rows`` rows.
+
+    Batches are built outside the JVM's heap and again in the Python worker, so with long
+    texts the session's default of 10,000 rows is the largest part of an executor's memory.
+    A larger session setting is lowered.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df.mapInArrow(fn, schema)
+
+
+def slices(batch: pa.RecordBatch, text: str, budget: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that one slice holds about ``budget`` characters, and one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start, held = 0, 0

@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import BoundedCache, WordSplitter, byte_letters, vocabulary
-from textloom.llm.common import cut, slices
+from textloom.llm.bpe import BoundedCache, WordSplitter, byte_letters
+from textloom.llm.common import arrow_map, cut, slices
 
 
 def reduce_instance(count: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -145,14 +145,15 @@ class Plan:
 def _tools(path: str):
     from tokenizers import Tokenizer
 
-    v, letters = vocabulary(path), byte_letters()
-    model = Tokenizer.from_file(path).model
+    tokenizer, letters = Tokenizer.from_file(path), byte_letters()
+    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    model = tokenizer.model
 
     def ids(word: str) -> bytes:
-        found = [v.special[word]] if word in v.special else [t.id for t in model.tokenize("".join([letters[b] for b in word.encode()]))]
+        found = [special[word]] if word in special else [t.id for t in model.tokenize("".join([letters[b] for b in word.encode()]))]
         return np.array(found, "<u4").tobytes()
 
-    return WordSplitter(v), BoundedCache(ids)
+    return WordSplitter(special), BoundedCache(ids)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,7 +176,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, key:
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
-    return docs.select(key, text).mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
+    return arrow_map(docs.select(key, text), run, ", ".join(f"`{n}` long" for n in names))
 
 
 def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,4 +200,4 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, key:
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], schema=schema)
 
     numbered = rows.join(ahead, ["part", "length"]).select(*names[:5], (F.col("number") + F.col("ahead")).alias("number"))
-    return numbered.mapInArrow(place, ", ".join(f"`{n}` long" for n in names))
+    return arrow_map(numbered, place, ", ".join(f"`{n}` long" for n in names))

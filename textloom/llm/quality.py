@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import BoundedCache
-from textloom.llm.common import cut, over_slices
+from textloom.llm.common import arrow_map, cut, over_slices
 from textloom.llm.labelled import held_out, logistic, sample
 
 TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
         return [batch.column(0), [_named(grams(t or "")) for t in batch.column(1).to_pylist()]]
 
     chosen = sample(docs, labels, label, parts, rest, most, key, text)
-    rows = cut(chosen.mapInArrow(over_slices(run, schema, text), "label int, grams array<string>"))
+    rows = cut(arrow_map(chosen, over_slices(run, schema, text), "label int, grams array<string>"))
     counts = rows.select("label", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.sum("label").alias("n1"))
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
     # Above all n-grams whose counts in the classes differ most for chance.
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
             ids = [sorted(known.value[g] for g in one if g in known.value) for one in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, schema2[1].type)], schema=schema2)
 
-    got = rows.mapInArrow(place, "label int, ids array<int>").collect()
+    got = arrow_map(rows, place, "label int, ids array<int>").collect()
     got.sort(key=lambda r: (r.label, r.ids))
     known.destroy()
     y = np.array([1 if r.label else -1 for r in got])
@@ -169,7 +169,7 @@ def with_scores(docs: DataFrame, model: Model, cutoff: float = 0.5, key: str = "
         scores = [score(t or "") for t in batch.column(1).to_pylist()]
         return [batch.column(0), scores, [int(s >= cutoff) for s in scores]]
 
-    return docs.select(key, text).mapInArrow(over_slices(run, schema, text), f"`{key}` long, score double, predicted int")
+    return arrow_map(docs.select(key, text), over_slices(run, schema, text), f"`{key}` long, score double, predicted int")
 
 
 def kept(docs: DataFrame, model: Model, cutoff: float = 0.5, text: str = "text") -> DataFrame:
@@ -181,4 +181,4 @@ def kept(docs: DataFrame, model: Model, cutoff: float = 0.5, text: str = "text")
             score = shared.value.score
             yield b.filter(pa.array([score(t or "") >= cutoff for t in b.column(text).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

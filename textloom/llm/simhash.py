@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, over_slices
+from textloom.llm.common import arrow_map, cut, over_slices
 from textloom.llm.components import components
 
 WORDS = re.compile("[^ \t-\r]+").findall
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
         return [batch.column(0), found.view(np.int64)]
 
-    return docs.select(key, text).mapInArrow(over_slices(run, schema, text), f"`{key}` long, fp long")
+    return arrow_map(docs.select(key, text), over_slices(run, schema, text), f"`{key}` long, fp long")
 
 
 def _ball(value: Column, width: int, radius: int) -> Column:
@@ -122,7 +122,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     left, right = (full.select("key", F.col("tile").alias(f"tile{k}"), F.col("rows").alias(f"rows{k}")) for k in (1, 2))
     across = left.join(right, "key").filter("tile1 < tile2").select("rows1", "rows2")
     out = "a long, b long"
-    return pairs.union(within.mapInArrow(_verified(radius), out)).union(across.mapInArrow(_verified(radius), out))
+    return pairs.union(arrow_map(within, _verified(radius), out)).union(arrow_map(across, _verified(radius), out))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:

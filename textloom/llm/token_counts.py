@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textloom.llm.bpe import BoundedCache, Vocabulary, letter_classes, vocabulary
-from textloom.llm.common import over_slices
+from textloom.llm.common import arrow_map, over_slices
 
 CHUNK = 256
 LETTER, NUMBER, OTHER, SPACE, WHITE, QUOTE, STMD, R, V, L, E, STOP = range(12)
@@ -234,4 +234,4 @@ def with_token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str =
         n = count_tokens(texts, path)
         return [batch.column(0), [len(t.encode()) for t in texts], n, n > limit]
 
-    return kept.mapInArrow(over_slices(count, schema, text), f"`{key}` long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(kept, over_slices(count, schema, text), f"`{key}` long, n_bytes long, n_tokens long, over_limit boolean")

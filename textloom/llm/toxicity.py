@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textloom.llm.bpe import BoundedCache
-from textloom.llm.common import over_slices
+from textloom.llm.common import arrow_map, over_slices
 from textloom.llm.labelled import logistic, sample
 
 WORDS = re.compile(r"\w*[^\W\d_]\w*").findall  # a letter at least
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     def run(batch: pa.RecordBatch) -> list:
         return [batch.column(0), [sorted(words(t)) for t in batch.column(1).to_pylist()]]
 
-    rows = sample(docs, labels, label, parts, rest, most, key, text).mapInArrow(over_slices(run, schema, text), "label int, words array<string>")
+    rows = arrow_map(sample(docs, labels, label, parts, rest, most, key, text), over_slices(run, schema, text), "label int, words array<string>")
     got = sorted((r.label, r.words) for r in rows.collect())
     return fit([set(w) for _, w in got], np.array([k for k, _ in got]))
 
@@ -150,7 +150,7 @@ def with_scores(docs: DataFrame, model: Model, cutoff: float = 0.3, key: str = "
         scores = [shared.value.score(t) for t in batch.column(1).to_pylist()]
         return [batch.column(0), scores, [int(s >= cutoff) for s in scores]]
 
-    return docs.select(key, text).mapInArrow(over_slices(run, schema, text), f"`{key}` long, score double, predicted int")
+    return arrow_map(docs.select(key, text), over_slices(run, schema, text), f"`{key}` long, score double, predicted int")
 
 
 def kept(docs: DataFrame, model: Model, cutoff: float = 0.3, text: str = "text") -> DataFrame:
@@ -161,4 +161,4 @@ def kept(docs: DataFrame, model: Model, cutoff: float = 0.3, text: str = "text")
         for b in batches:
             yield b.filter(pa.array([shared.value.score(t) < cutoff for t in b.column(text).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
