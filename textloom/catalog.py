@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from textloom import queries_scan
+from textloom import queries_facts, queries_scan
 
 FLAGSHIP = "static_entities"
-QUERIES = dict(queries_scan.QUERIES)
-ORACLES = dict(queries_scan.ORACLES)
+QUERIES = queries_scan.QUERIES | queries_facts.QUERIES
+ORACLES = queries_scan.ORACLES | queries_facts.ORACLES

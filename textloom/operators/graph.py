@@ -7,7 +7,7 @@ query crosses fragments, so every join here is on that key and partitions by it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,10 @@ class Facts:
     relationships: DataFrame
     artifacts: DataFrame | None = None
 
+    def settled(self) -> Facts:
+        """The same facts, written once; for rules that read them many times."""
+        return replace(self, entities=materialized(self.entities), operations=materialized(self.operations), relationships=materialized(self.relationships))
+
     def keys(self) -> DataFrame:
         every = self.entities.select(*KEY).union(self.operations.select(*KEY)).union(self.relationships.select(*KEY))
         return every.distinct()
@@ -102,8 +106,10 @@ def reachable(edges: DataFrame, sources: DataFrame, max_depth: int | None = None
     is bounded by the pairs found, whatever the number of paths.
     """
     hop = edges.select(*KEY, F.col("source").alias("target"), F.col("target").alias("_next")).distinct()
-    seen = frontier = sources.select(*KEY, "source", F.col("source").alias("target")).distinct()
-    depth = 0
+    frontier = sources.select(*KEY, "source", F.col("source").alias("target")).distinct()
+    if max_depth is None:
+        hop, frontier = materialized(hop), materialized(frontier)
+    seen, depth = frontier, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         reached = frontier.join(hop, [*KEY, "target"]).select(*KEY, "source", F.col("_next").alias("target")).distinct()
@@ -112,9 +118,7 @@ def reachable(edges: DataFrame, sources: DataFrame, max_depth: int | None = None
             frontier = materialized(frontier)
             if frontier.isEmpty():
                 break
-            seen = materialized(seen.union(frontier))
-        else:
-            seen = seen.union(frontier)
+        seen = seen.union(frontier)
     return seen
 
 
@@ -127,7 +131,7 @@ def paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> D
     wanted = pairs.select(*KEY, "source", "sink").distinct()
     open_ = reachable(back, wanted.select(*KEY, F.col("sink").alias("source")), max_depth).select(*KEY, F.col("source").alias("sink"), F.col("target").alias("node"))
     if max_depth is None:
-        open_ = materialized(open_)
+        edges, wanted, open_ = materialized(edges), materialized(wanted), materialized(open_)
     frontier = wanted.withColumns({"node": F.col("source"), "nodes": F.array("source"), "edges": F.array().cast("array<string>")})
     frontier = frontier.join(open_, [*KEY, "sink", "node"], "left_semi")
     hop = edges.select(*KEY, F.col("source").alias("node"), F.col("target").alias("_next"), "edge")

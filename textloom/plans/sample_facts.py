@@ -3,7 +3,7 @@
 No table of the warehouse holds readings, so this builds some with known structure: an
 order derived from its customer, who is in a nation and a region, referring to parts and sent
 to suppliers; suppliers derived from the parts they deliver, and parts from the order, which closes
-cycles; one operation a line, chained through ``flow`` entities.  ``SQL`` builds the same in DuckDB.
+cycles; one operation a line (of lines that share a number, the smallest), chained through ``flow`` entities.  ``SQL`` builds the same in DuckDB.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators.graph import KEY, Facts
+from textloom.operators.graph import Facts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,9 @@ def order_facts(spark: SparkSession, sf_dir: str) -> Facts:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     o = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     o = o.withColumn("artifact_id", F.sha2(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).cast("binary"), 256))
-    lines = table(spark, sf_dir, "lineitem").join(o.select("o_orderkey", "artifact_id"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
+    lines = lines.agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+    lines = lines.join(o.select("o_orderkey", "artifact_id"), F.col("l_orderkey") == F.col("o_orderkey"))
     part, supplier = F.concat(F.lit("part."), "l_partkey"), F.concat(F.lit("supplier."), "l_suppkey")
     flows = lines.select("artifact_id", F.explode(F.array("l_linenumber", F.col("l_linenumber") - 1)).alias("n")).distinct()
     entities = _entity(o, "order", "MESSAGE", F.col("o_orderstatus"), F.concat(F.lit("order-"), "o_orderkey"), F.when(F.col("o_orderstatus") == "F", "UNTRUSTED").otherwise("TRUSTED"), 0)
@@ -77,13 +79,15 @@ def order_facts(spark: SparkSession, sf_dir: str) -> Facts:
         F.when(F.col("l_returnflag") == "A", "SEND").when(F.col("l_returnflag") == "N", "READ").otherwise("DELETE").alias("op"), F.lit("customer").alias("actor"),
         F.array(part, F.concat(F.lit("flow."), n - 1)).alias("inputs"), F.array(F.concat(F.lit("flow."), n)).alias("outputs"), supplier.alias("destination"), modality.alias("modality"),
         F.array(F.struct("artifact_id", at.alias("start"), (at + 1).alias("end"))).alias("evidence"), F.lit(0.7).alias("confidence"), F.lit(False).alias("underspecified"),
-    ).dropDuplicates([*KEY, "id"])
+    )
     return Facts(entities, operations, relationships)
 
 
 SQL = """
 o AS (SELECT sha256('order:' || o_orderkey) AS artifact_id, * FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-l AS (SELECT o.artifact_id, lineitem.* FROM lineitem JOIN o ON l_orderkey = o_orderkey),
+lx AS (SELECT l_orderkey, l_linenumber, min((l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus)) AS x FROM lineitem GROUP BY ALL),
+ly AS (SELECT l_orderkey, l_linenumber, x[1] AS l_partkey, x[2] AS l_suppkey, x[3] AS l_quantity, x[5] AS l_discount, x[6] AS l_tax, x[7] AS l_returnflag, x[8] AS l_linestatus FROM lx),
+l AS (SELECT o.artifact_id, ly.* FROM ly JOIN o ON l_orderkey = o_orderkey),
 ent AS (
   SELECT artifact_id, 'order' AS id, 'MESSAGE' AS type, o_orderstatus AS subtype, 'order-' || o_orderkey AS value, CASE WHEN o_orderstatus = 'F' THEN 'UNTRUSTED' ELSE 'TRUSTED' END AS trust, 0 AS s FROM o
   UNION ALL SELECT artifact_id, 'customer', 'USER_DATA', c_mktsegment, 'customer-' || o_custkey, CASE WHEN c_acctbal >= 0 THEN 'TRUSTED' ELSE 'UNTRUSTED' END, 1 FROM o
