@@ -32,12 +32,19 @@ def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     x = np.stack([margin, np.ones_like(margin)], 1)
     beta = np.array([1.0, 0.0])
-    for _ in range(50):
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((weight * (np.logaddexp(0, z) - t * z)).sum() + 5e-4 * (b @ b))
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (weight * (p - t)) + 1e-3 * beta
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        beta -= np.clip(step, -2, 2)
-        if abs(step).max() < 1e-6:
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-6 and loss(beta - size * step) > loss(beta):
+            size /= 2
+        beta = beta - size * step
+        if abs(size * step).max() < 1e-6:
             break
     return float(max(beta[0], 1e-3)), float(beta[1])

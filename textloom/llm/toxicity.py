@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from textloom.llm.bpe import BoundedCache
 from textloom.llm.common import arrow_map, over_slices
-from textloom.llm.labelled import logistic, sample
+from textloom.llm.labelled import sample
 
 WORDS = re.compile(r"\w*[^\W\d_]\w*").findall  # a letter at least
 
@@ -33,9 +33,9 @@ def words(text: str | None) -> set[str]:
 
 
 def subwords(word: str, bits: int) -> list[int]:
-    """Rows of the table: the whole word's, then those of its n-grams of 3 to 6 characters."""
+    """Rows of the table: the whole word's, then those of its n-grams of 3 to 5 characters."""
     marked, mask = f"<{word}>", (1 << bits) - 1
-    found = [marked, *(marked[i : i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1) if n < len(marked))]
+    found = [marked, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1) if n < len(marked))]
     return [crc32(g.encode()) & mask for g in found]
 
 
@@ -45,14 +45,14 @@ def log_odds(hazard):
 
 @dataclass
 class Model:
-    """``table``: (rows, dim); ``softmax``: (dim, 2); ``bias``: (2,).  ``slope`` and ``shift`` calibrate log odds."""
+    """``table``: (rows, dim); ``softmax``: (dim, 2); ``bias``: (2,).  ``slope`` and ``shift`` apply to log odds; the shift leans to recall."""
 
     table: np.ndarray
     softmax: np.ndarray
     bias: np.ndarray
     bits: int
     slope: float = 1.0
-    shift: float = 0.0
+    shift: float = 1.0
     _kept: BoundedCache | None = field(default=None, repr=False)
 
     def __getstate__(self):
@@ -76,12 +76,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -40, 40))))
 
 
-def fit(texts: list[set[str]], y: np.ndarray, bits: int = 17, dim: int = 12, epochs: int = 60, rate: float = 0.15, decay: float = 0.02) -> Model:
+def fit(texts: list[set[str]], y: np.ndarray, bits: int = 17, dim: int = 12, epochs: int = 120, rate: float = 0.15, decay: float = 0.02, noise: float = 0.2) -> Model:
     """Full-batch Adam on the noisy-or's log loss, both classes weighted alike.
 
-    Three guards against learning by heart: vectors decay; a third of the subwords is left
-    out at random in each step, so that a word's parts learn to stand for it; and a word
-    of fewer than three sample texts may clear a text but not accuse one.
+    Four guards against learning by heart: vectors decay; a third of the subwords is left
+    out at random in each step, so that a word's parts learn to stand for it; a word
+    accuses a text only if three toxic texts of the sample, and one in a hundred, have it;
+    and a share ``noise`` of the toxic labels is taken to be wrong, so that a text that
+    nothing explains is given up instead of being learned.
     """
     rng = np.random.default_rng(3)
     table = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
@@ -94,12 +96,12 @@ def fit(texts: list[set[str]], y: np.ndarray, bits: int = 17, dim: int = 12, epo
         return model
     names = sorted(set().union(*texts))
     index = {w: i for i, w in enumerate(names)}
-    bags = [subwords(w, bits) for w in names]
-    flat = np.concatenate([np.array(b, np.int64) for b in bags])
-    of_word = np.repeat(np.arange(len(names)), [len(b) for b in bags])
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    word = np.array([index[w] for t in texts for w in sorted(t)], np.int64)
-    accuses = np.bincount(word, minlength=len(names))[word] > 2
+    size = np.fromiter((len(subwords(w, 0)) for w in names), np.int32, len(names))
+    flat = np.fromiter((r for w in names for r in subwords(w, bits)), np.int32, int(size.sum()))
+    of_word = np.repeat(np.arange(len(names), dtype=np.int32), size)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    word = np.fromiter((index[w] for t in texts for w in sorted(t)), np.int32, len(doc))
+    accuses = np.bincount(word, (y > 0)[doc], len(names))[word] >= max(3, 0.01 * (y > 0).sum())
     accuses |= (y <= 0)[doc]
     weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y <= 0).sum())
     params = [table, softmax, bias]
@@ -107,14 +109,15 @@ def fit(texts: list[set[str]], y: np.ndarray, bits: int = 17, dim: int = 12, epo
     for t in range(1, epochs + 1):
         u = softmax[:, 1] - softmax[:, 0]
         part = table @ u
-        use = (rng.random(len(flat)) < 0.67).astype(np.float32)
-        size = np.maximum(np.bincount(of_word, use, len(names)), 1)
-        s = np.bincount(of_word, part[flat] * use, len(names)) / size + (bias[1] - bias[0])
+        use = rng.random(len(flat), np.float32) < 0.67
+        rows, owners = flat[use], of_word[use]
+        size = np.maximum(np.bincount(owners, minlength=len(names)), 1)
+        s = np.bincount(owners, part[rows], len(names)) / size + (bias[1] - bias[0])
         total = np.bincount(doc, np.logaddexp(0, s)[word], len(texts))
         left = np.exp(-np.minimum(total, 30))
-        pull = weight * np.where(y > 0, -left / np.maximum(1 - left, 1e-6), 1.0)
+        pull = weight * np.where(y > 0, -left / (noise / (1 - noise) + 1 - left), 1.0)
         g = np.bincount(word, pull[doc] * accuses, len(names)) / (1 + np.exp(-s))
-        by_row = np.bincount(flat, (g / size)[of_word] * use, len(table)).astype(np.float32)
+        by_row = np.bincount(rows, (g / size)[owners], len(table)).astype(np.float32)
         down = table.T @ by_row
         grads = [by_row[:, None] * u[None, :], np.stack([-down, down], 1), np.array([-g.sum(), g.sum()], np.float32)]
         for k, (p, d) in enumerate(zip(params, grads)):
@@ -123,13 +126,10 @@ def fit(texts: list[set[str]], y: np.ndarray, bits: int = 17, dim: int = 12, epo
             if k == 0:
                 p *= 1 - decay
             p -= (rate if k == 0 else rate / 3) * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.98**t)) + 1e-8)
-    s = np.bincount(of_word, (table @ (softmax[:, 1] - softmax[:, 0]))[flat], len(names)) / np.bincount(of_word) + (bias[1] - bias[0])
-    odds = log_odds(np.bincount(doc, np.logaddexp(0, s)[word], len(texts)))
-    model.slope, model.shift = logistic(np.maximum(odds, -12), np.where(y > 0, 1, -1), weight * len(y))
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, rest: int = 2, most: int = 1500, key: str = "doc_id", text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, rest: int = 2, most: int = 1000, key: str = "doc_id", text: str = "text") -> Model:
     """Fit on at most ``most`` rows of each label; only their distinct words reach the driver."""
     schema = pa.schema([("label", pa.int32()), ("words", pa.list_(pa.string()))])
 
