@@ -92,7 +92,9 @@ def templates(shapes: DataFrame, limits: Limits) -> DataFrame:
         wide = children.groupBy(*node).agg(F.count("*").alias("fan"), F.sum("n").alias("n"))
         wide = wide.filter((F.col("fan") > limits.fan) & (F.col("fan") > limits.spread * F.col("n"))).select(*node, F.lit(True).alias("_wild"))
         out = out.join(wide, node, "left").withColumn(c, F.when(F.col("_wild") & (F.col(c) != ""), "*").otherwise(F.col(c))).drop("_wild")
-    parent = F.concat_ws("/", *level[:-1])
+    parent = F.lit("0:")
+    for k, c in enumerate(level):  # the branch without its deepest segment, and that segment's depth
+        parent = F.when(F.col(c) != "", F.concat_ws("/", F.lit(f"{k + 1}:"), *level[:k])).otherwise(parent)
     out = out.select("host", "shape", parent.alias("parent"), F.concat(F.concat_ws("/", *level), F.col("_more")).alias("template"), "labelled", "blocked")
     leaf = out.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     band = F.when(F.col("labelled") > 0, F.floor(4 * (F.col("blocked") + 1) / (F.col("labelled") + 2)))
@@ -141,8 +143,10 @@ def sql(rules: tuple[Rule, ...] = RULES, limits: Limits = Limits()) -> str:
         ctes.append(f"f{k} AS (SELECT {node}, TRUE AS wild FROM (SELECT {node}, t{k}, sum(n) AS n FROM w{k} WHERE t{k} <> '' GROUP BY {node}, t{k}) GROUP BY {node} HAVING count(*) > {limits.fan} AND count(*) > {limits.spread} * sum(n))")
         ctes.append(f"w{k + 1} AS (SELECT w.* REPLACE (CASE WHEN f.wild AND w.t{k} <> '' THEN '*' ELSE w.t{k} END AS t{k}) FROM w{k} w LEFT JOIN f{k} f USING ({node}))")
     levels = [f"t{k}" for k in range(LEVELS)]
+    above = [", ".join([f"'{k + 1}:'", *levels[:k]]) for k in range(LEVELS)]
+    parent = " ".join(f"WHEN t{k} <> '' THEN concat_ws('/', {above[k]})" for k in reversed(range(LEVELS)))
     ctes += [
-        f"named AS (SELECT host, shape, concat_ws('/', {', '.join(levels[:-1])}) AS parent, concat_ws('/', {', '.join(levels)}) || more AS template, labelled, blocked FROM w{LEVELS})",
+        f"named AS (SELECT host, shape, CASE {parent} ELSE '0:' END AS parent, concat_ws('/', {', '.join(levels)}) || more AS template, labelled, blocked FROM w{LEVELS})",
         "leaf AS (SELECT host, parent, template, CASE WHEN sum(labelled) > 0 THEN floor(4.0 * (sum(blocked) + 1) / (sum(labelled) + 2)) END AS band, sum(labelled) AS labelled, sum(blocked) AS blocked FROM named GROUP BY host, parent, template)",
         "merged AS (SELECT host, parent, band, sum(labelled) AS l, sum(blocked) AS b FROM leaf WHERE band IS NOT NULL GROUP BY ALL)",
         f"pure AS (SELECT host, template, (coalesce(b, 0) + {limits.smooth * limits.prior}) / (coalesce(l, 0) + {limits.smooth}) AS purity FROM leaf LEFT JOIN merged USING (host, parent, band))",
