@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import KEY, Facts, edges_of, entity_predicate, first_paths, operation_edges, operation_predicate, reachable, trust_boundaries
+from textloom.plans.materialize import materialized
 from textloom.plans.rules import Condition, Rule
 
 RESULT = (
@@ -152,7 +153,7 @@ def _evidence_ids(rule: Rule, facts: Facts, first: DataFrame) -> DataFrame:
 def evaluate(rule: Rule, facts: Facts, keys: DataFrame | None = None) -> DataFrame:
     """One row for each fragment of ``keys`` (all of them by default): HIT with its evidence, or NO_HIT."""
     keys = (facts.keys() if keys is None else keys).select(*KEY)
-    first = first_matches(rule, facts, keys)
+    first = materialized(first_matches(rule, facts, keys))  # read once for each kind of evidence
     records = [df.select(*KEY, F.lit(kind).alias("record_type"), "id", "evidence") for kind, df in (("entity", facts.entities), ("operation", facts.operations), ("relationship", facts.relationships))]
     found = _evidence_ids(rule, facts, first).join(reduce(DataFrame.union, records), [*KEY, "record_type", "id"])
     spans = F.array_sort("evidence")

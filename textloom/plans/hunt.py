@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import ids
 from textloom.operators.graph import KEY, Facts
 from textloom.plans.evaluate import evaluate
+from textloom.plans.materialize import materialized
 from textloom.plans.rules import Rule
 
 MAX_DEPTH = 16
@@ -62,7 +63,7 @@ def hints(spans: DataFrame, artifacts: DataFrame, by: list[str], rounds: int = M
 def hunt(rule: Rule, facts: Facts, accepted: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
     """One row for each accepted fragment (key) whose evidence its sources support: status and hints."""
     usable = accepted.select(*KEY).join(unsupported(facts), KEY, "left_anti")
-    result = evaluate(rule, facts, usable)
+    result = materialized(evaluate(rule, facts, usable))
     spans = result.filter("status = 'HIT'").select(*KEY, F.explode("evidence").alias("r")).select(*KEY, F.explode("r.spans").alias("span"))
     places = hints(spans, facts.artifacts, KEY, rounds)
     none = F.array().cast("array<struct<source_name:string,artifact_id:string,start:int,end:int,line:int,column:int>>")

@@ -310,7 +310,7 @@ DECODED_SQL = (
 )
 PATHS_SQL = (
     f"{W}, {ALL_WAYS}, way AS (SELECT artifact_id, source, min((nodes, edges)) AS w FROM ways WHERE node = 'region' GROUP BY ALL), "
-    f"{WAYS.format(edges='der', sink='customer').replace('ways AS', 'down AS').replace('FROM ways w', 'FROM down w')}, der AS (SELECT * FROM rel WHERE relation = 'DERIVED_FROM'), "
+    f"der AS (SELECT * FROM rel WHERE relation = 'DERIVED_FROM'), {WAYS.format(edges='der', sink='customer').replace('ways AS', 'down AS').replace('FROM ways w', 'FROM down w')}, "
     "near AS (SELECT artifact_id, source, min((nodes, edges)) AS w FROM down WHERE node = 'customer' AND len(edges) <= 3 GROUP BY ALL), "
     "hit AS (SELECT a.artifact_id, min(a.source) AS place FROM way a JOIN near USING (artifact_id, source) JOIN o USING (artifact_id) WHERE r_name = 'ASIA' AND c_acctbal < 0 GROUP BY ALL), "
     "full_ AS (SELECT h.artifact_id, place, list_sort(list_distinct(list_concat(way.w[2], near.w[2], ['rel.CONTAINED_BY.customer.nation']))) AS edges FROM hit h JOIN way ON way.artifact_id = h.artifact_id AND way.source = place JOIN near ON near.artifact_id = h.artifact_id AND near.source = place) "
