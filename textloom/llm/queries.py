@@ -61,4 +61,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_pii, op2_quality, op3_fingerprints, op4_token_counts, op5_toxicity, op6_embeddings, op7_packing, op8_url_filter, op9_bpe_codec, op10_simhash)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op8_url_filter": url_filter.sql()}
+ORACLES: dict[str, str] = {"op6_embeddings": embeddings.sql(), "op8_url_filter": url_filter.sql()}
