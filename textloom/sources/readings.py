@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import vocab
+from textloom.shipping import ship
 
 ATTEMPTS = "artifact_id string, ordinal int, outcome string, payload string"
 
@@ -73,4 +74,5 @@ def from_function(artifacts: DataFrame, lift: Callable[[str, str], Iterable[tupl
             columns = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
+    ship(artifacts.sparkSession)
     return artifacts.select("artifact_id", "text").mapInArrow(run, ATTEMPTS)
