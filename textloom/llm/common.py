@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -9,6 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.shipping import ship
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,12 +41,24 @@ def arrow_map(df: DataFrame, fn, schema: str, rows: int = 1000) -> DataFrame:
     texts the session's default of 10,000 rows is the largest part of an executor's memory.
     A larger session setting is lowered.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= rows:
+        conf.set(BATCH, str(rows))
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """For plans that run inside: at most ``rows`` rows in a batch."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def slices(batch: pa.RecordBatch, text: str, budget: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that one slice holds about ``budget`` characters, and one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import arrow_map, batches_of, cut
 from textloom.llm.components import components
 
 TILE = 4096
@@ -44,7 +44,7 @@ def _moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def principal_axes(vectors: DataFrame, column: str) -> dict[int, np.ndarray]:
     """For each number of dimensions the principal axes (columns, leading first) of all unit vectors."""
-    sums = vectors.select(column).mapInArrow(_moments, "dim int, at int, value double").groupBy("dim", "at").agg(F.sum("value").alias("value")).collect()
+    sums = arrow_map(vectors.select(column), _moments, "dim int, at int, value double").groupBy("dim", "at").agg(F.sum("value").alias("value")).collect()
     out: dict[int, np.ndarray] = {}
     for r in sums:
         out.setdefault(r.dim, np.zeros(r.dim * r.dim))[r.at] = r.value
@@ -159,7 +159,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     second = tiles.select("l", "d", F.col("cell").alias("cell2"), F.col("sub").alias("sub2"), F.col("rows").alias("rows2"))
     same = (F.col("cell") == F.col("cell2")) & (F.col("sub") == F.col("sub2"))
     work = near.join(tiles, ["l", "d", "cell", "sub"]).join(second, ["l", "d", "cell2", "sub2"]).select(same.alias("same"), "rows", F.when(~same, F.col("rows2")).alias("rows2"))
-    said = cut(work.mapInArrow(_compare(axes, threshold), "kind int, a long, b long"))
+    with batches_of(vectors.sparkSession, 8):  # a row here is two whole tiles
+        said = cut(arrow_map(work, _compare(axes, threshold), "kind int, a long, b long"))
     degree = said.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     joined = components(said.filter("kind = 1").select("a", "b"))
     info = one.join(degree, F.col("rep") == F.col("a"), "left").join(joined, F.col("rep") == F.col("node"), "left")
