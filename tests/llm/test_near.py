@@ -7,7 +7,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from textloom.llm import components, embeddings, fingerprints, simhash
+from textloom.llm import shingles as near
 
 WORDS = [f"w{k}" for k in range(400)]
 RNG = np.random.default_rng(3)
@@ -133,3 +135,48 @@ def test_next_of_repeated_null_and_single_keys(spark):
     assert fingerprints.compared(df.limit(0)).count() == 0
     many = spark.range(500).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     assert all(int(r._next.text) == (r.doc_id + 1) % 500 for r in fingerprints.with_next(many, "doc_id", "text", ["text"], 16).collect())
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_stage_finds_all_near_copies(spark, monkeypatch):
+    base = [prose(int(n)) for n in RNG.integers(5, 200, 30)]
+    texts = [edited(b, k) for b in base for k in (0, 1, 2, 3)] + [edited(base[0] + " " + prose(300), 1) for _ in range(3)]
+    big = prose(250)
+    texts += [edited(big, 2) for _ in range(60)] + [big + " " + prose(120) for _ in range(20)] + [None, "", " \n", "one", "One", "a b c", "A  b c", "a b"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string").repartition(5)
+    sets = [shingles(t) for t in texts]
+    want = sorted(set(reach(len(texts), lambda i, j: alike(sets[i], sets[j]))))
+    for tile, few, often in ((2048, 32, 3), (3, 2, 10**9), (2048, 4, 10**9)):  # small tiles, and an order without counts
+        for name, value in (("TILE", tile), ("FEW", few), ("OFTEN", often)):
+            monkeypatch.setattr(near, name, value)
+        kept = corpus_pipeline.one_of_each(spark, df, "")
+        assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_stage_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    sets = [shingles(t) for _, t in rows]
+    want = reach(len(rows), lambda i, j: 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and alike(sets[i], sets[j]))
+    got = corpus_pipeline.one_of_each(spark, docs, "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted({rows[k][0] for k in want})
+
+
+def test_stage_edges(spark):
+    text, other = prose(40), prose(40)
+    rows = [(None, text), (7, text), (7, text), (9, None), (8, ""), (3, other), (5, other), (5, prose(40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.one_of_each(df).collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 3, 5, 7, 8] and (5, other) not in [tuple(r) for r in got]
+    assert near.one_of_each(df.limit(0)).count() == 0
+
+
+def test_sketches_rule_no_pair_out():
+    for n in (6, 300, 1020, 3000):
+        text = prose(n)
+        for other in (text, edited(text, n // 50), prose(n), text + " " + prose(n // 5)):
+            one, two = (near.shingles(t) for t in (text, other))
+            assert near._apart(near._sketch(one), near._sketch(two)) <= len(np.setxor1d(one, two))
