@@ -63,6 +63,21 @@ def test_pii_method_and_masks(spark):
     assert pii.report(df.limit(0)).count() == 0
 
 
+IBANS = ["ES9121000418450200051332", "AT611904300234573201", "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32", "PL61 1090 1014 0000 0712 1981 2874", "NO93 8601 1117 947"]
+
+
+def test_ibans_end_by_country(spark):
+    after = ["", " Please", " Die", " Marie", " BIC X", " 5 euros", " 2024", " A", ", B", " AT611904300234573201", "\nX"]
+    rows = [(i, f"to {n}{a}", n) for i, (n, a) in enumerate((n, a) for n in IBANS for a in after)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string, iban string")).collect()}
+    for i, text, iban in rows:
+        spans = [s.split(":") for s in got[i].split(",")]
+        found = [text[int(s) : int(e)] for k, s, e in spans if k == "iban"]
+        assert found == [iban, *([IBANS[1]] if text.endswith(" " + IBANS[1]) and text != "to " + IBANS[1] else [])], text
+    wrong = spark.createDataFrame([(1, "ES9121000418450200051333 Please"), (2, "BE68 5390 0754 7035 5"), (3, "ES9121000418450200051332a")], "doc_id long, text string")
+    assert not any("iban" in r.spans for r in pii.report(wrong).collect())
+
+
 def held_out(doc_id, parts, rest):
     return crc32(str(doc_id).encode()) % parts == rest
 

@@ -7,7 +7,7 @@ of ``cutoff`` on.
 
 All positions come from one pass: splitting by a pattern gives the text between its
 matches, and running sums of the lengths give each match's place in code points.  Every
-repetition is possessive or a single character class, so that neither the regex engine's
+repetition is possessive, counted or a single character class, so that neither the regex engine's
 stack nor its time grows beyond the text's length, and a look-behind keeps it from trying
 every place inside a run.  Everything happens within a row: nothing is shuffled, and a
 row costs what its own text costs.
@@ -36,12 +36,27 @@ class Kind:
 
 
 _LOCAL = "A-Za-z0-9._%+-"
+# The registered lengths of IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+# A number of its country's length ends there, whatever follows; others run on as far as they can.
+_BY_COUNTRY = "|".join(f"{_iban(n, c)}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
 KINDS = (
     Kind("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "mail|contact|write|adresse", 0.8),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", r"\bip\b|address|host|server", 0.7),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,}+", r"[0-9]", "card|visa|credit|karte|carte|tarjeta", 0.8),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", "phone|call|tel|mobile|fax", 0.7),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "iban|account|konto|bank|compte|cuenta", 0.8),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_BY_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}+(?: ?[A-Z0-9]{{1,3}})?+)(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "iban|account|konto|bank|compte|cuenta", 0.8),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "ssn|social security|tax id", 0.5),
 )
 
