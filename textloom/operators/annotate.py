@@ -52,45 +52,57 @@ def _disordered(m: Column) -> Column:
     return entropy(m) >= P.MIN_ENTROPY - 1e-9
 
 
+def _without(lead: str) -> Callable[[Column, Column], Column]:
+    return lambda m, at: F.regexp_replace(m, f"^(?:{lead})", "")
+
+
+def _lines(m: Column, at: Column) -> Column:
+    """The end of the line before is no part of a command; a text's start has no line before."""
+    return F.when(at > 0, _without(P.SHELL_LEAD)(m, at)).otherwise(m)
+
+
 @dataclass(frozen=True)
 class Annotator:
     kind: str
     pattern: str
     values: Callable[[Column], Column] = _none
     keep: Callable[[Column], Column] | None = None
-    group: int = 0
+    meant: Callable[[Column, Column], Column] | None = None
 
 
 ANNOTATORS = (
     Annotator("url", P.URL, _url_parts),
-    Annotator("domain", P.DOMAIN, lambda m: F.array(F.lower(m))),
+    Annotator("domain", P.DOMAIN, lambda m: F.array(F.lower(m)), None, _without(P.DOMAIN_LEAD)),
     Annotator("ip_address", P.IP_ADDRESS, _whole, _octets_fit),
     Annotator("filesystem_path", P.FILESYSTEM_PATH),
     Annotator("environment_variable", P.ENVIRONMENT_VARIABLE, _variable),
     Annotator("code_fence", P.CODE_FENCE),
-    Annotator("shell_command", P.SHELL_COMMAND),
+    Annotator("shell_command", P.SHELL_COMMAND, _none, None, _lines),
     Annotator("base64_candidate", P.BASE64_CANDIDATE),
     Annotator("hex_candidate", P.HEX_CANDIDATE),
     Annotator("url_encoded_candidate", P.URL_ENCODED_CANDIDATE),
     Annotator("high_entropy_candidate", P.LONG_TOKEN, _none, _disordered),
-    Annotator("explicit_file_reference", P.LABELLED_FILE, _whole, None, 1),
+    Annotator("explicit_file_reference", P.LABELLED_FILE, _whole, None, _without(f"(?iu){P.LABEL}")),
     Annotator("explicit_file_reference", P.FILE_NAME),
 )
 
 
-def annotations(text: Column, kinds: tuple[str, ...] | None = None) -> Column:
-    """Array of annotations of ``text``, by (start, end, kind, first value)."""
+def _parts(text: Column, kinds: tuple[str, ...] | None) -> list[Column]:
     whole = F.coalesce(text, F.lit(""))
     parts = []
     for a in ANNOTATORS:
-        if kinds and a.kind not in kinds:
-            continue
-        found = match_spans(whole, a.pattern, a.group)
-        if a.keep:
-            found = _kept(found, a)
-        parts.append(_annotated(found, a))
-    joined = F.concat(*parts) if len(parts) > 1 else parts[0]
-    key = F.transform(joined, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.coalesce(F.get(x["normalized_values"], F.lit(0)), F.lit("")).alias("first"), x.alias("it")))
+        if not kinds or a.kind in kinds:
+            found = match_spans(whole, a.pattern, a.meant)
+            parts.append(_annotated(_kept(found, a) if a.keep else found, a))
+    return parts
+
+
+def annotations(text: Column, kinds: tuple[str, ...] | None = None) -> Column:
+    """Array of annotations of ``text``, by (start, end, kind, first value)."""
+    parts = _parts(text, kinds)
+    if len(parts) == 1:  # matches of one pattern are in order
+        return parts[0]
+    key = F.transform(F.concat(*parts), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.coalesce(F.get(x["normalized_values"], F.lit(0)), F.lit("")).alias("first"), x.alias("it")))
     return F.transform(F.array_sort(key), lambda k: k["it"])
 
 
@@ -106,6 +118,6 @@ def _annotated(found: Column, a: Annotator) -> Column:
 
 
 def annotate(docs: DataFrame, key: str = "artifact_id", text: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """One row for each annotation: ``key``, kind, start, end, value, normalized_values."""
-    found = docs.select(key, F.explode(annotations(F.col(text), kinds)).alias("a"))
+    """One row for each annotation: ``key``, kind, start, end, value, normalized_values.  A null text has none."""
+    found = docs.select(key, F.explode(F.concat(*_parts(F.col(text), kinds))).alias("a"))
     return found.select(key, "a.kind", "a.start", "a.end", "a.value", "a.normalized_values")

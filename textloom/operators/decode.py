@@ -1,10 +1,11 @@
 """Recursive expansion of encoded payloads under strict limits, one row at a time.
 
 Every base64, hex or percent-encoded candidate of a text is decoded once; a decoded text
-becomes a virtual child and is searched in turn.  The expansion is a nested array
-expression, its depth fixed by the limits; the budget (children and bytes for each root) is
-then spent greedily in document order by one fold, which also drops what lies below a
-rejected child.  No row leaves its partition.
+becomes a virtual child and is searched in turn.  Each level is one array column, made from
+the level above; the budget (children and bytes for each root) is then spent greedily in
+document order by one fold.  The fold keeps the accepted children alone, whose number the
+limits bound; what each other candidate met follows from those before it.  Whatever lies
+below a rejected child is dropped.  No row leaves its partition.
 """
 
 from __future__ import annotations
@@ -47,8 +48,11 @@ def _codec(kind: Column) -> Column:
     return F.when(kind == "hex_candidate", "hex").when(kind == "base64_candidate", "base64").otherwise("url")
 
 
-def candidates(text: Column, limits: DecodeLimits) -> Column:
-    """Array of (start, end, codec, why, n_bytes, text) in document order; ``why`` is (code, message) of a failure."""
+def candidates(text: Column, limits: DecodeLimits, sound: bool = False) -> Column:
+    """Array of (start, end, codec, why, n_bytes, text) in document order; ``why`` is (code, message) of a failure.
+
+    ``sound``: only those that decode to a text that is not empty.
+    """
 
     def say(code: str, message: str) -> Column:
         return F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))
@@ -85,7 +89,10 @@ def candidates(text: Column, limits: DecodeLimits) -> Column:
 
         return F.filter(found, alone)
 
-    return F.transform(F.transform(let(annotations(text, KINDS), chosen), tried), decoded)
+    attempts = F.transform(let(annotations(text, KINDS), chosen), tried)
+    if not sound:
+        return F.transform(attempts, decoded)
+    return F.filter(F.transform(F.filter(attempts, lambda a: a["why"].isNull()), decoded), lambda c: c["why"].isNull() & (c["text"] != ""))
 
 
 def child_id(text: Column, codec: Column, depth: int, parent: Column, span: Column, chain: Column) -> Column:
@@ -99,69 +106,98 @@ def _span_json(span: Column) -> Column:
     return F.struct(span["artifact_id"].alias("artifact_id"), span["end"].alias("end"), span["start"].alias("start"))
 
 
-def _expand(text: Column, owner: Column, depth: int, chain: Column, limits: DecodeLimits) -> Column:
-    """Every candidate below ``text``, parents before children, without regard to the budget."""
+def _level(above: Column, depth: int, limits: DecodeLimits, sound: bool) -> Column:
+    """The candidates (or the sound ones) in the texts of ``above``, without regard to the budget."""
 
-    def one(c: Column, i: Column) -> Column:
-        span = F.struct(owner.alias("artifact_id"), c["start"].alias("start"), c["end"].alias("end"))
-        return let(F.when(c["text"].isNotNull(), child_id(c["text"], c["codec"], depth + 1, owner, span, chain)), lambda own: placed(c, i, span, own))
+    def inside(f: Column) -> Column:
+        return F.transform(candidates(f["text"], limits, sound), lambda c, i: placed(f, c, i))
 
-    def placed(c: Column, i: Column, span: Column, own: Column) -> Column:
-        step = F.struct(
-            F.array(i).alias("path"), F.lit(depth + 1).alias("depth"), own.alias("artifact_id"), owner.alias("parent_artifact_id"), span.alias("parent_span"),
+    def placed(f: Column, c: Column, i: Column) -> Column:
+        span = F.struct(f["artifact_id"].alias("artifact_id"), c["start"].alias("start"), c["end"].alias("end"))
+        step = F.struct(f["parent_artifact_id"].alias("parent_artifact_id"), f["parent_span"].alias("parent_span"), f["codec"].alias("codec"))
+        chain = F.concat(f["chain"], F.array(step)) if depth > 1 else f["chain"]
+        own = F.when(c["text"].isNotNull(), child_id(c["text"], c["codec"], depth, f["artifact_id"], span, chain))
+        return F.struct(
+            F.concat(f["path"], F.array(i)).alias("path"), F.lit(depth).alias("depth"), own.alias("artifact_id"), f["artifact_id"].alias("parent_artifact_id"), span.alias("parent_span"),
             c["codec"].alias("codec"), chain.alias("chain"), c["why"].alias("why"), c["n_bytes"].alias("n_bytes"), c["text"].alias("text"),
         )
-        if depth >= limits.max_depth:
-            return F.array(step)
-        link = F.struct(owner.alias("parent_artifact_id"), span.alias("parent_span"), c["codec"].alias("codec"))
-        below = _expand(c["text"], own, depth + 1, F.concat(chain, F.array(link)), limits)
-        deeper = F.transform(below, lambda s: s.withField("path", F.concat(F.array(i), s["path"])))
-        return F.concat(F.array(step), F.when(c["text"] != "", deeper).otherwise(F.array()))
 
-    return F.flatten(F.transform(candidates(text, limits), one))
+    return F.flatten(F.transform(F.filter(above, lambda f: f["text"] != ""), inside))
+
+
+KIND = f"struct<path:array<int>,depth:int,artifact_id:string,parent_artifact_id:string,parent_span:{SPAN},codec:string,chain:array<{STEP}>,why:struct<code:string,message:string>,n_bytes:int,text:string>"
+ACCEPTED = "array<struct<i:int,path:array<int>,n_bytes:int>>"
+
+
+def _refusal(x: Column, children: Column, used: Column, limits: DecodeLimits) -> Column:
+    """Why a candidate is refused after so many children of so many bytes; null if it is accepted."""
+
+    def say(code: str, message: str) -> Column:
+        return F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))
+
+    return (
+        F.when(x["why"].isNotNull(), x["why"])
+        .when(x["depth"] > limits.max_depth, say("decode_limit", "decode depth limit reached"))
+        .when(children >= limits.max_children, say("decode_limit", "virtual child limit reached"))
+        .when(used + x["n_bytes"] > limits.max_aggregate_bytes, say("decode_limit", "aggregate decoded byte limit reached"))
+        .when(x["text"].isNull(), say("decode_non_text", "decoded bytes are not strict UTF-8 text"))
+        .when(x["text"] == "", say("decode_invalid", "decoded text is empty"))
+    )
 
 
-def outcomes(text: Column, owner: Column, limits: DecodeLimits = DecodeLimits()) -> Column:
-    """Array of every candidate that is looked at, with ``why`` null exactly for accepted children."""
-    empty = F.array().cast(f"array<{STEP}>")
-    steps = _expand(F.coalesce(text, F.lit("")), owner, 0, empty, limits)
-    kind = f"struct<path:array<int>,depth:int,artifact_id:string,parent_artifact_id:string,parent_span:{SPAN},codec:string,chain:array<{STEP}>,why:struct<code:string,message:string>,n_bytes:int,text:string>"
-    steps = steps.cast(f"array<{kind}>")
-    state = F.struct(F.lit(0).alias("children"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("dead"), F.array().cast(f"array<{kind}>").alias("out"))
+def _orphan(x: Column, accepted: Column) -> Column:
+    """Whether the text that holds a candidate was itself refused."""
+    return (F.size(x["path"]) > 1) & ~F.exists(accepted, lambda a: a["path"] == F.slice(x["path"], F.lit(1), F.size(x["path"]) - 1))
+
+
+def _accepted(steps: Column, limits: DecodeLimits) -> Column:
+    """Which candidates become children: array of (place among ``steps``, path, bytes)."""
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("used"), F.array().cast(ACCEPTED).alias("accepted"))
 
     def spend(s: Column, x: Column) -> Column:
-        def say(code: str, message: str) -> Column:
-            return F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))
+        good = ~_orphan(x, s["accepted"]) & _refusal(x, F.size(s["accepted"]), s["used"], limits).isNull()
+        one = F.struct(s["i"].alias("i"), x["path"].alias("path"), x["n_bytes"].alias("n_bytes"))
+        taken = F.struct((s["i"] + 1).alias("i"), (s["used"] + x["n_bytes"]).cast("bigint").alias("used"), F.concat(s["accepted"], F.array(one)).alias("accepted"))
+        return F.when(x["why"].isNull() & good, taken).otherwise(F.struct((s["i"] + 1).alias("i"), s["used"].alias("used"), s["accepted"].alias("accepted")))
 
-        gone = (F.size(s["dead"]) > 0) & (F.size(x["path"]) > F.size(s["dead"])) & (F.slice(x["path"], F.lit(1), F.greatest(F.size(s["dead"]), F.lit(1))) == s["dead"])
-        why = (
-            F.when(x["why"].isNotNull(), x["why"])
-            .when(x["depth"] > limits.max_depth, say("decode_limit", "decode depth limit reached"))
-            .when(s["children"] >= limits.max_children, say("decode_limit", "virtual child limit reached"))
-            .when(s["used"] + x["n_bytes"] > limits.max_aggregate_bytes, say("decode_limit", "aggregate decoded byte limit reached"))
-            .when(x["text"].isNull(), say("decode_non_text", "decoded bytes are not strict UTF-8 text"))
-            .when(x["text"] == "", say("decode_invalid", "decoded text is empty"))
-        )
-        good = why.isNull()
-        return F.when(gone, s).otherwise(
-            F.struct(
-                (s["children"] + good.cast("int")).alias("children"),
-                (s["used"] + F.when(good, x["n_bytes"]).otherwise(0)).cast("bigint").alias("used"),
-                F.when(good, s["dead"]).otherwise(x["path"]).alias("dead"),
-                F.concat(s["out"], F.array(x.withField("why", why))).alias("out"),
-            )
-        )
+    return F.aggregate(steps, state, spend, lambda s: s["accepted"])
+
+
+def _told(steps: Column, accepted: Column, limits: DecodeLimits) -> Column:
+    """Every candidate that is looked at, with ``why`` it was refused."""
+
+    def told(x: Column, i: Column) -> Column:
+        def after(before: Column) -> Column:
+            used = F.aggregate(before, F.lit(0).cast("bigint"), lambda s, a: s + a["n_bytes"])
+            return x.withField("why", _refusal(x, F.size(before), used, limits))
+
+        seen = F.when(x["why"].isNotNull(), x).otherwise(let(F.filter(accepted, lambda a: a["i"] < i), after))
+        return F.when(~_orphan(x, accepted), seen)
 
-    return F.aggregate(steps, state, spend, lambda s: s["out"])
+    return F.filter(F.transform(steps, told), lambda x: x.isNotNull())
 
 
-def expand(artifacts: DataFrame, limits: DecodeLimits = DecodeLimits()) -> DataFrame:
+def expand(artifacts: DataFrame, limits: DecodeLimits = DecodeLimits(), sound: bool = False) -> DataFrame:
     """All outcomes of (artifact_id, text): one row each, ``ordinal`` in depth-first order, ``why`` null for children.
 
-    ``root_id`` is the artifact searched.  A null text has no candidates.
+    ``root_id`` is the artifact searched.  A null text has no candidates.  ``sound``: the
+    accepted children only, which is much cheaper as most candidates are plain words;
+    ``ordinal`` and ``path`` then count these alone.
     """
-    found = artifacts.select(F.col("artifact_id").alias("root_id"), F.posexplode(outcomes(F.col("text"), F.col("artifact_id"), limits)).alias("ordinal", "o"))
-    return found.select("root_id", "ordinal", "o.*")
+    none = F.lit(None)
+    top = F.struct(
+        F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.col("artifact_id"), none.cast("string").alias("parent_artifact_id"), none.cast(SPAN).alias("parent_span"),
+        none.cast("string").alias("codec"), F.array().cast(f"array<{STEP}>").alias("chain"), none.cast("struct<code:string,message:string>").alias("why"), none.cast("int").alias("n_bytes"), F.col("text"),
+    )
+    rows = artifacts.select(F.col("artifact_id").alias("root_id"), F.array(top).cast(f"array<{KIND}>").alias("_0"))
+    levels = list(range(1, limits.max_depth + (1 if sound else 2)))
+    for depth in levels:  # one below the limit is looked at only to say that the limit was met
+        rows = rows.withColumn(f"_{depth}", _level(F.col(f"_{depth - 1}"), depth, limits, sound).cast(f"array<{KIND}>"))
+    steps = F.concat(*(f"_{depth}" for depth in levels)) if len(levels) > 1 else F.col("_1")
+    rows = rows.select("root_id", (F.array_sort(steps) if len(levels) > 1 else steps).alias("steps"))  # by path: a parent comes before what it holds
+    rows = rows.withColumn("accepted", _accepted(F.col("steps"), limits))
+    every = F.transform("accepted", lambda a: F.element_at("steps", a["i"] + 1)) if sound else _told(F.col("steps"), F.col("accepted"), limits)
+    return rows.select("root_id", F.posexplode(every).alias("ordinal", "o")).select("root_id", "ordinal", "o.*")
 
 
 def children(expanded: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ query crosses fragments, so every join here is on that key and partitions by it.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import vocab
+from textloom.functions import regex, vocab
 from textloom.plans.materialize import materialized
 
 KEY = ["artifact_id", "ordinal"]
@@ -37,8 +38,16 @@ class Facts:
 
 
 def pattern_matches(value: Column, pattern: str) -> Column:
-    """Whether a pattern is found in a value.  ``\\s``, ``\\b``, ``\\w`` and ``\\d`` are taken as Unicode-aware."""
-    return value.rlike("(?U)" + pattern.replace("(?P<", "(?<"))
+    """Whether Python's ``re.search`` finds a pattern in a value; null for a null value.
+
+    Patterns are translated to Java's dialect; one with a construct that Java lacks (a
+    condition on a group) runs in Python, in Arrow batches.
+    """
+    translated = regex.java(pattern)
+    if translated is not None:
+        return value.rlike(translated)
+    search = re.compile(pattern).search
+    return F.pandas_udf(lambda s: s.map(lambda v: None if v is None else search(v) is not None), "boolean")(value)
 
 
 def entity_predicate(filters: dict) -> Column:

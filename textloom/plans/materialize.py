@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def materialized(df: DataFrame) -> DataFrame:
+    """``df``, written to the folder that ``spark.checkpoint.dir`` names and read from there.
+
+    A local master without that setting (tests) gets a folder of its own; a cluster must name one
+    that all its machines share.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
     return df.checkpoint(eager=True)

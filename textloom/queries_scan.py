@@ -87,13 +87,13 @@ LINE_COL_SQL = (
 def decode_children(spark, sf_dir):
     """Children at depth one and below, with their provenance."""
     docs = _docs(spark, sf_dir).select(F.col("artifact_id").cast("string").alias("artifact_id"), "text")
-    found = decode.children(decode.expand(docs))
+    found = decode.children(decode.expand(docs, sound=True))
     return found.select(F.col("root_id").cast("long").alias("doc_id"), F.col("decode_provenance.depth").alias("depth"), F.col("decode_provenance.codec").alias("codec"), F.sha2(F.col("text").cast("binary"), 256).alias("text_id"))
 
 
 def decode_depth_one(spark, sf_dir):
     docs = _docs(spark, sf_dir).select(F.col("artifact_id").cast("string").alias("artifact_id"), "text")
-    found = decode.children(decode.expand(docs, decode.DecodeLimits(max_depth=1, max_children=256, max_aggregate_bytes=4 << 20)))
+    found = decode.children(decode.expand(docs, decode.DecodeLimits(max_depth=1, max_children=256, max_aggregate_bytes=4 << 20), sound=True))
     span = F.col("decode_provenance.parent_span")
     return found.select(F.col("root_id").cast("long").alias("doc_id"), span["start"].alias("start"), span["end"].alias("end"), F.col("decode_provenance.codec").alias("codec"), "text")
 
@@ -166,7 +166,7 @@ def scan_report(spark, sf_dir):
     artifacts = files.artifacts_of(docs, F.col("artifact_id").cast("string"), F.col("text"))
     once = artifacts.dropDuplicates(["artifact_id"])
     expanded = decode.expand(once)
-    return reports.scan_report(artifacts, annotate.annotate(once, kinds=("ip_address", "domain", "hex_candidate")), decode.children(expanded), decode.diagnostics(expanded))
+    return reports.scan_report(artifacts, annotate.annotate(once), decode.children(expanded), decode.diagnostics(expanded))
 
 
 QUERIES = {
