@@ -3,47 +3,50 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.plans.materialize import materialized
 from textloom.shipping import ship
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialized(df)
+
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or ``name`` with underscores, so that ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def arrow_map(df: DataFrame, fn, schema: str, rows: int = 1000) -> DataFrame:
-    """``mapInArrow`` over batches of at most ``rows`` rows.
+
+def small_batches(spark: SparkSession, rows: int = ROWS) -> None:
+    """Let the session build Arrow batches of at most ``rows`` rows.
 
     Batches are built outside the JVM's heap and again in the Python worker, so with long
     texts the session's default of 10,000 rows is the largest part of an executor's memory.
-    A larger session setting is lowered.
+    The setting is read when a plan runs, so it has to stand for as long as the session does;
+    only the registered queries and the pipeline set it, the operators leave it alone.
     """
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH)) <= rows:
-        conf.set(BATCH, str(rows))
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, str(rows))
+
+
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` by workers that know this package."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 

@@ -9,8 +9,9 @@ All positions come from one pass: splitting by a pattern gives the text between
 matches, and running sums of the lengths give each match's place in code points.  Every
 repetition is possessive, counted or a single character class, so that neither the regex engine's
 stack nor its time grows beyond the text's length, and a look-behind keeps it from trying
-every place inside a run.  Everything happens within a row: nothing is shuffled, and a
-row costs what its own text costs.
+every place inside a run.  Sums are folded by blocks and texts are cut by blocks, so the
+work also grows with the number of spans and not with its square.  Everything happens
+within a row: nothing is shuffled, and a row costs what its own text costs.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import unused
+from textloom.operators.spans import ends, let, running
+
 BASE = ("email", "ip", "card", "phone")
 NEAR = 40  # code points on each side that are searched for context words
+BLOCK = 4096  # code points in which a text is cut to take pieces out of it
 
 
 @dataclass(frozen=True)
@@ -90,40 +95,35 @@ def _valid(kind: str, text: Column) -> Column:
 
 def _found(kind: Kind, gaps: Column, matches: Column, cutoff: float) -> Column:
     """Array of (kind, start, end, score) of the confirmed matches, by start."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        return F.struct((start + F.length(x["match"])).alias("at"), F.concat(s["starts"], F.array(start)).alias("starts"))
-
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"))
-    starts = F.aggregate(pairs, state, step, lambda s: s["starts"])
-    rows = F.arrays_zip(matches.alias("match"), starts.alias("start"), F.slice(gaps, 1, F.size(matches)).alias("before"), F.slice(gaps, 2, F.size(matches)).alias("after"))
+    n = F.size(matches)
+    rows = F.arrays_zip(matches.alias("match"), ends(gaps, matches).alias("end"), F.slice(gaps, F.lit(1), n).alias("before"), F.slice(gaps, F.lit(2), n).alias("after"))
 
     def span(x: Column) -> Column:
         near = F.lower(F.concat(F.right(x["before"], F.lit(NEAR)), F.lit(" "), F.left(x["after"], F.lit(NEAR)))).rlike(kind.words)
         score = F.lit(kind.score) + F.when(near, 0.2).otherwise(0.0)
-        return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end"), score.alias("score"))
+        return F.struct(F.lit(kind.name).alias("kind"), (x["end"] - F.length(x["match"])).alias("start"), x["end"].alias("end"), score.alias("score"))
 
     good = F.filter(rows, lambda x: _valid(kind.name, x["match"]))
     spans = F.transform(good, span)
     return spans if kind.name in BASE else F.filter(spans, lambda s: s["score"] >= cutoff)
 
 
-def with_spans(docs: DataFrame, text: str = "text", cutoff: float = 0.65) -> DataFrame:
-    """``docs`` with ``pii_spans``: array of (kind, start, end, score), by kind as in KINDS, then by start.
+def with_spans(docs: DataFrame, text: str = "text", cutoff: float = 0.65, name: str = "pii_spans") -> DataFrame:
+    """``docs`` with ``name``: array of (kind, start, end, score), by kind as in KINDS, then by start.
 
     Positions count code points, the end is exclusive.  Null and empty texts have none.
+    Repeated rows stay repeated, an empty table gives an empty one; a column that is called
+    ``name`` already is replaced, all others stay.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     hit = {k.name: whole.contains("@") if k.hint == "@" else whole.rlike(k.hint) for k in KINDS}
     hit["ip"] = whole.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")
     hit["card"] = whole.rlike("[0-9](?:[ -]?[0-9]){12}")
-    names = {k.name: (f"_{k.name}_gaps", f"_{k.name}_found") for k in KINDS}
+    names = {k.name: tuple(unused(docs, f"_{k.name}_{part}") for part in ("gaps", "found")) for k in KINDS}
     out = docs.withColumns({c: F.when(hit[k.name], f(whole, k)) for k in KINDS for c, f in zip(names[k.name], (lambda w, k: F.split(w, k.pattern, -1), lambda w, k: F.regexp_extract_all(w, F.lit(k.pattern), F.lit(0))))})
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
     spans = [F.coalesce(F.when(F.size(names[k.name][1]) > 0, _found(k, F.col(names[k.name][0]), F.col(names[k.name][1]), cutoff)), none) for k in KINDS]
-    return out.withColumn("pii_spans", F.concat(*spans)).drop(*(c for pair in names.values() for c in pair))
+    return out.withColumn(name, F.concat(*spans)).drop(*(c for pair in names.values() for c in pair))
 
 
 def written(spans: Column) -> Column:
@@ -132,16 +132,20 @@ def written(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, counts of the base kinds and of all spans, the digest of the base spans, all spans, their scores."""
+    """``key``, counts of the base kinds and of all spans, the digest of the base spans, all spans, their scores.
+
+    One row for each row: repeated rows stay repeated, a null text counts as empty, an empty
+    table gives an empty one.  Other columns are not read.
+    """
     spans = F.col("pii_spans")
-    found = with_spans(docs.select(key, text), text)
+    found = with_spans(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text")
 
     def count(kind: str) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
     return found.select(
-        key,
+        F.col("_key").alias(key),
         *map(count, BASE),
         F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
         written(spans).alias("spans"),
@@ -149,20 +153,37 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
-def redacted(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; ``size`` is set to the new length.
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, given as its blocks."""
+    p, q = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    first, last = (F.coalesce(F.get(blocks, k), F.lit("")) for k in (p, q))
+    at = start - p * BLOCK + 1
+    across = F.concat(F.substring(first, at, F.lit(BLOCK)), F.array_join(F.slice(blocks, p + 2, q - p - 1), ""), F.substring(last, F.lit(1), end - q * BLOCK))
+    return F.when(p == q, F.substring(first, at, end - start)).otherwise(across)
 
-    Of overlapping spans the one that starts first (the longest of these) is replaced, with all it covers.
-    """
-    found = with_spans(docs, text)
-    order = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("low"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def step(s: Column, x: Column) -> Column:
-        kept = F.substring(F.col(text), s["at"] + 1, x["start"] - s["at"])
-        then = F.struct(x["end"].alias("at"), F.concat(s["parts"], F.array(kept, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))).alias("parts"))
-        return F.when(x["start"] >= s["at"], then).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["parts"].alias("parts")))
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("low"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    clean = F.aggregate(order, state, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
-    out = found.withColumn(text, F.when(F.size("pii_spans") > 0, clean).otherwise(F.col(text))).drop("pii_spans")
+    def cut(rows: Column, top: Column, blocks: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: F.get(rows, i)["start"] >= F.get(top, i))
+        parts = F.transform(first, lambda i: F.concat(_piece(blocks, F.get(top, i), F.get(rows, i)["start"]), F.lit("<"), F.upper(F.get(rows, i)["kind"]), F.lit(">")))
+        return F.concat(F.array_join(parts, ""), _piece(blocks, F.element_at(top, -1), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    ready = let(order, lambda rows: let(running(F.transform(rows, lambda r: r["end"]), F.greatest), lambda top: let(blocks, lambda b: cut(rows, top, b))))
+    return F.when(F.size(spans) > 0, ready).otherwise(text)
+
+
+def redacted(docs: DataFrame, text: str = "text", size: str | None = "n_chars") -> DataFrame:
+    """``docs`` with every span replaced by its kind in angle brackets; ``size``, if there, is set to the new length.
+
+    Of overlapping spans the one that starts first (the longest of these) gives the name, and
+    all that they cover is replaced.  Null and empty texts stay as they are, repeated rows stay
+    repeated, an empty table gives an empty one, and all other columns stay.
+    """
+    spans = unused(docs, "_spans")
+    found = with_spans(docs, text, name=spans)
+    out = found.withColumn(text, masked(F.col(text), F.col(spans))).drop(spans)
     return out.withColumn(size, F.coalesce(F.length(text).cast("long"), F.lit(0).cast("long"))) if size in docs.columns else out

@@ -7,13 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe_codec, embeddings, fingerprints, packing, pii, quality, simhash, token_counts, toxicity, url_filter
-from textloom.llm.common import table
+from textloom.llm.common import small_batches
+from textloom.llm.common import table as read
 from textloom.llm.labelled import held_out
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return read(spark, sf_dir, name)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
