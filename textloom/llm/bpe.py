@@ -214,13 +214,18 @@ class WordSplitter:
 
 
 class BoundedCache(dict):
-    """Values made by ``make`` on a miss; two generations, so that frequent keys stay and memory is bounded."""
+    """Values made by ``make`` on a miss; two generations, so that frequent keys stay and memory is bounded.
 
-    def __init__(self, make, most: int = 120_000):
+    Keys longer than ``longest`` are rare and their values long, so these are not kept.
+    """
+
+    def __init__(self, make, most: int = 120_000, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

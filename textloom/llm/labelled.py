@@ -16,14 +16,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, rest: int
     """(label, text) of at most ``most`` rows of each label, none of them held out.
 
     The rows are those with the smallest hash of their key, so the choice does not depend
-    on order or partitioning.  A key labelled twice takes the smaller label.  Only the
-    chosen keys, at most ``2 * most``, are broadcast.
+    on order or partitioning.  A key labelled twice takes the smaller label, and of several
+    texts the smallest.  Only the chosen keys, at most ``2 * most``, are broadcast.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key, parts, rest))
     known = known.groupBy(key).agg(F.min(label).cast("int").alias("label")).filter("label in (0, 1)")
     order = (F.xxhash64(key), F.col(key))
     chosen = known.filter("label = 0").orderBy(*order).limit(most).union(known.filter("label = 1").orderBy(*order).limit(most))
-    return docs.select(key, text).join(F.broadcast(chosen), key).select("label", text)
+    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_key") == F.col(key))
+    return found.groupBy("_key").agg(F.first("label").alias("label"), F.min("_text").alias(text)).select("label", text)
 
 
 def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
