@@ -8,9 +8,10 @@ is at most ``radius // 2`` apart, and there every fingerprint emits all variants
 half of *that*: 33 rows a block.  Rows are shuffled on (block, variant), equal
 fingerprints having been folded before, and colliding pairs are verified on all bits.
 
-A variant with many fingerprints is cut into tiles of bounded size, and the tiles are
-compared pairwise as separate tasks; from each comparison only a spanning forest of the
-verified links is kept, so no group is ever written out as all its pairs.
+A variant with many fingerprints is cut into tiles by a hash before its rows are brought
+together, and the tiles are compared pairwise, each pair by itself; from each comparison
+only a spanning forest of the verified links is kept, so no group is ever gathered whole or
+written out as all its pairs.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from textloom.llm.common import arrow_map, cut, over_slices
+from textloom.llm.common import arrow_map, batches_of, cut, over_slices, unused
 from textloom.llm.components import components
+from textloom.llm.tiles import across, chosen, hot_keys, tiled
 
 WORDS = re.compile("[^ \t-\r]+").findall
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -104,25 +107,27 @@ def _verified(radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (a, b) between reps of ``distinct`` (fp, rep) that join all whose fingerprints are linked."""
-    near = radius // 2 // 2
+def _variants(distinct: DataFrame, near: int) -> DataFrame:
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     keys = F.concat(_ball(low, 32, near), F.transform(_ball(high, 32, near), lambda v: v.bitwiseOR(F.lit(1 << 32))))
-    rows = distinct.select("fp", "rep", F.explode(keys).alias("key"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("fp"))
-    tiled = rows.withColumn("tile", F.floor((place - 1) / TILE).cast("int"))
-    tiles = tiled.groupBy("key", "tile").agg(F.array_sort(F.collect_list(F.struct("fp", "rep"))).alias("rows"))
-    tiles = cut(tiles.filter((F.size("rows") > 1) | (F.col("tile") > 0)))
+    return distinct.select("fp", "rep", F.explode(keys).alias("key"))
+
+
+def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+    """Edges (a, b) between reps of ``distinct`` (fp, rep) that join all whose fingerprints are linked; ``radius`` is from 0 to 9."""
+    if not 0 <= radius <= 9:  # beyond, a block's ball is over 5,489 variants
+        raise ValueError("radius must be from 0 to 9")
+    near = (radius // 2 + 1) // 2  # half of what one block can differ in, rounded up
+    hot = hot_keys(_variants(distinct.filter(chosen(F.col("fp"))), near), "key", TILE)
+    tiles = tiled(_variants(distinct, near), hot, "key", "fp").groupBy("key", "tile").agg(F.collect_list(F.struct("fp", "rep")).alias("rows"), F.max("parts").alias("parts"))
+    tiles = cut(tiles.filter((F.size("rows") > 1) | F.col("parts").isNotNull()).select("key", "tile", "rows"))
     one, two = F.col("rows")[0], F.col("rows")[1]
     pairs = tiles.filter(F.size("rows") == 2).select(one["rep"].alias("a"), two["rep"].alias("b"), one["fp"].bitwiseXOR(two["fp"]).alias("x"))
     pairs = pairs.filter(F.bit_count("x") <= radius).select("a", "b")
-    within = tiles.filter(F.size("rows") > 2).select("rows").distinct()
-    full = tiles.filter((F.size("rows") == TILE) | (F.col("tile") > 0))
-    left, right = (full.select("key", F.col("tile").alias(f"tile{k}"), F.col("rows").alias(f"rows{k}")) for k in (1, 2))
-    across = left.join(right, "key").filter("tile1 < tile2").select("rows1", "rows2")
+    within = tiles.filter(F.size("rows") > 2).select(F.array_sort("rows").alias("rows")).distinct()
     out = "a long, b long"
-    return pairs.union(arrow_map(within, _verified(radius), out)).union(arrow_map(across, _verified(radius), out))
+    with batches_of(distinct.sparkSession, 64):  # a row here can be two whole tiles
+        return cut(pairs.union(arrow_map(within, _verified(radius), out)).union(arrow_map(across(tiles, hot, "key"), _verified(radius), out)))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,8 +138,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, key: str = "doc_id", text:
     no row of it has a key).  Empty tables give empty results; other columns are not read.
     """
     fps = cut(fingerprints(docs, key, text))
-    distinct = fps.groupBy("fp").agg(F.min(key).alias("rep"))
-    found = components(links(distinct.filter("rep is not null"), radius))
+    distinct = cut(fps.groupBy("fp").agg(F.min(key).alias("rep")).filter("rep is not null"))
+    found = components(links(distinct, radius))
     named = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select(key, "fp", "component_id")
 
@@ -142,9 +147,23 @@ def near_duplicates(docs: DataFrame, radius: int = 4, key: str = "doc_id", text:
 def one_of_each(docs: DataFrame, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest key stays.
 
-    Equal rows (same key and text) count as one; rows without a key stay.
+    Equal rows (same key and text) count as one, and of different texts with one key that
+    are linked the one with the smallest fingerprint stays; rows without a key stay.  An
+    empty table gives an empty one, and other columns stay, whatever their names.
     """
+    fp, stays, again = (unused(docs, c) for c in ("_fp", "_stays", "_again"))
     found = near_duplicates(docs, radius, key, text).filter(F.col(key) == F.col("component_id"))
-    stay = found.select(F.col(key).alias("_stay")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64(text)).join(stay, F.col(key) == F.col("_stay"), "left")
-    return rows.filter(F.col("_stay").isNotNull() | F.col(key).isNull()).dropDuplicates([key, "_hash"]).select(*docs.columns)
+    stay = found.groupBy(F.col(key).alias(again)).agg(F.min("fp").alias(fp))
+    # Which text of a key stays is known by its fingerprint, so that is made again for the keys that stay.
+    rows = docs.join(stay, F.col(key) == F.col(again), "left")
+    schema = StructType([*rows.schema.fields, StructField(stays, BooleanType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, wanted, keys = b.column(text).to_pylist(), b.column(fp).to_pylist(), b.column(key).to_pylist()
+            good = [k is None or (w is not None and fingerprint(t) == w % (1 << 64)) for t, w, k in zip(texts, wanted, keys)]
+            yield b.append_column(stays, pa.array(good, pa.bool_()))
+
+    rows = arrow_map(rows, run, schema).filter(F.col(stays)).withColumn(again, F.xxhash64(text))
+    nameless = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return rows.withColumn(stays, nameless).dropDuplicates([key, again, stays]).select(*docs.columns)
