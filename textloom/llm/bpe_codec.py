@@ -36,7 +36,8 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     Words repeat far more than texts do, so ids and decoded text are kept by word; both
     join by single spaces, and joining the words' parts gives the document's.  Null and
-    empty texts have no ids and decode to the empty text.
+    empty texts have no ids and decode to the empty text.  Repeated rows stay repeated, an
+    empty table gives an empty one, other columns are not read.
     """
     schema = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

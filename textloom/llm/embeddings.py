@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +31,12 @@ def _moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the unit vectors' products, one row for each dimension count and entry."""
     total: dict[int, np.ndarray] = {}
     for b in batches:
-        for v in b.column(0).to_pylist():
-            x = np.array(v, np.float64)
-            x /= np.linalg.norm(x)
-            d = len(x)
-            if d not in total:
-                total[d] = np.zeros((d, d))
-            total[d] += np.outer(x, x)
+        vectors = b.column(0)
+        size = pc.list_value_length(vectors).to_numpy()
+        for d in np.unique(size).tolist():
+            x = vectors.filter(pa.array(size == d)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            total[d] = total.get(d, 0.0) + x.T @ x
     dims = [np.full(m.size, d) for d, m in total.items()]
     cat = lambda parts, kind: np.concatenate([*parts, np.empty(0)]).astype(kind)
     yield pa.RecordBatch.from_arrays([pa.array(cat(dims, np.int32)), pa.array(cat([np.arange(m.size) for m in total.values()], np.int32)), pa.array(cat([m.ravel() for m in total.values()], np.float64))], ["dim", "at", "value"])
@@ -132,7 +132,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
 
     Vectors that are null, empty, zero or hold null or non-finite numbers, rows without
     a label or a key, and vectors of different lengths link with nothing.  Copies link
-    with each other and are counted one by one.  Repeated rows stay repeated.
+    with each other and are counted one by one.  Repeated rows stay repeated.  Different
+    vectors under one key are told apart when they are compared, but as a key is one node of
+    the graph, they are in one component and each has the links of all of them.  An empty
+    table gives an empty one, other columns are not read.
     """
     x = F.col(vector)
     sound = F.col(key).isNotNull() & F.col(label).isNotNull() & x.isNotNull() & (F.size(x) > 0)

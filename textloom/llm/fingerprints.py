@@ -77,11 +77,18 @@ def with_next(df: DataFrame, key: str, then: str, columns: list[str], parts: int
     cuts = [k / parts for k in range(1, parts)]
     found = df.select(place.alias("o")).agg(F.min("o").alias("low"), F.percentile_approx("o", cuts or [0.5], max(10_000, 10 * parts)).alias("cuts")).first()
     first = sorted({found.low if found.low is not None else low, *(found.cuts or [])}) if cuts else [found.low if found.low is not None else low]
-    bounds = F.from_json(F.lit(json.dumps(first)), "array<bigint>")
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(first).bit_length()))))
     o = F.col("_o")
-    rank = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(first)) & (F.get(bounds, at + s - 1) <= o), at + s).otherwise(at))
-    rows = df.withColumn("_o", place).withColumn("_range", rank - 1)
+
+    def rank(first: list[int]) -> Column:
+        bounds = F.from_json(F.lit(json.dumps(first)), "array<bigint>")
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(first).bit_length()))))
+        return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(first)) & (F.get(bounds, at + s - 1) <= o), at + s).otherwise(at))
+
+    if len(first) > 1:  # the quantiles of large keys are rounded: each range starts at the first key that it has
+        real = df.select(place.alias("_o")).groupBy(rank(first).alias("_range")).agg(F.min("_o").alias("o")).collect()
+        first = sorted(r.o for r in real)
+    bounds = F.from_json(F.lit(json.dumps(first)), "array<bigint>")
+    rows = df.withColumn("_o", place).withColumn("_range", rank(first) - 1)
     before = F.pmod(F.col("_range") - 1, F.lit(len(first)))
     own = F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy"))
     end = F.struct(before.alias("r"), F.lit(1).alias("copy"))
@@ -93,7 +100,9 @@ def with_next(df: DataFrame, key: str, then: str, columns: list[str], parts: int
 def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
-    A null text counts as empty.  Repeated rows stay; equal keys are ordered by their text, null keys come first.
+    A null text counts as empty.  Repeated rows stay; equal keys are ordered by their text,
+    null keys come first, so all rows of one key are ordered in one task: keys are meant to
+    be unique.  An empty table gives an empty one, other columns are not read.
     """
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))

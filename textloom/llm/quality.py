@@ -7,8 +7,8 @@ log-count ratio between the classes, and a linear hinge-loss model is fitted by
 coordinate descent.  A logistic curve fitted on margins of folds not trained on turns
 margins into scores.
 
-Bounds, all parameters: ``most`` labelled rows of each class, ``width`` n-grams.  The
-model is of bounded size and is all that is broadcast; scoring reads every text whole and
+Bounds, all parameters: ``most`` labelled rows of each class, ``width`` n-grams that
+``least`` of these rows have.  The model is of bounded size and is all that is broadcast; scoring reads every text whole and
 needs no shuffle.
 """
 
@@ -127,7 +127,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, names: list[str], share: float, c
     return Model(weights, float(b), slope, shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, rest: int = 1, most: int = 2500, width: int = 60_000, key: str = "doc_id", text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, rest: int = 1, most: int = 2500, width: int = 60_000, least: int = 3, key: str = "doc_id", text: str = "text") -> Model:
     """Fit on at most ``most`` rows of each label; the n-grams' counts are summed in Spark."""
     schema = pa.schema([("label", pa.int32()), ("grams", pa.list_(pa.string()))])
 
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
     # Above all n-grams whose counts in the classes differ most for chance.
     surprise = F.abs(F.col("n1") - F.col("n") * F.lit(total.n1 / max(1, total.n))) / F.sqrt("n")
-    best = counts.filter("n > 2").orderBy(surprise.desc(), "gram").limit(width).select("gram").collect()
+    best = counts.filter(F.col("n") >= least).orderBy(surprise.desc(), "gram").limit(width).select("gram").collect()
     names = sorted(r.gram for r in best)
     index = {g: i for i, g in enumerate(names)}
     known = docs.sparkSession.sparkContext.broadcast(index)
@@ -160,7 +160,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
 
 
 def with_scores(docs: DataFrame, model: Model, cutoff: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, score and predicted of every row.  A null text counts as empty and is scored as such."""
+    """``key``, score and predicted of every row.
+
+    A null text counts as empty and is scored as such.  Repeated rows stay repeated, an
+    empty table gives an empty one, other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([(key, pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -173,7 +177,10 @@ def with_scores(docs: DataFrame, model: Model, cutoff: float = 0.5, key: str = "
 
 
 def kept(docs: DataFrame, model: Model, cutoff: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``cutoff``, with all their columns."""
+    """The rows of ``docs`` whose text scores at least ``cutoff``, with all their columns, whatever their names.
+
+    A null text counts as empty; repeated rows are kept or go together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
