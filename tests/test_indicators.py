@@ -1,5 +1,12 @@
 import hashlib
+import ipaddress
+import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.functions import vocab
+from textloom.operators import indicators
 from textloom.operators.indicators import entities
 
 
@@ -33,3 +40,30 @@ def test_identity(spark):
     _, rows = found(spark, "8.8.8.8")
     digest = hashlib.sha256(b"NETWORK_DESTINATION\x008.8.8.8\x000\x007").hexdigest()[:12]
     assert [r.id for r in rows] == [f"static.network_destination.{digest}"]
+
+
+@pytest.mark.parametrize("value", ["::1", "::", "fe80::1", "febf::", "fec0::1", "fc00::1", "fdff::", "fe00::1", "2001:db8::1", "0:0:0:0:0:0:0:1", "1::2::3", ":::", "1:2:3", "::2", "0::0", "fe80:0:0:0:0:0:0:1", "10.1.2.3", "11.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.1.1", "169.254.9.9", "0.1.2.3", "127.0.0.1", "127.0.0.256", "010.1.1.1", "1.2.3", "localhost", "a.localhost", "localhost.a"])
+def test_local_addresses(spark, value):
+    try:
+        address = ipaddress.ip_address(value)
+        want = any(address in ipaddress.ip_network(n) for n in vocab.LOCAL_NETWORKS)
+    except ValueError:
+        want = value in ("localhost", "a.localhost")
+    bracketed = f"http://[{value}]:8/x" if ":" in value else f"http://{value}:8/x"
+    row = spark.createDataFrame([(value, bracketed)], "v string, u string").select(indicators.local_destination(F.col("v")).alias("v"), indicators.local_destination(F.col("u")).alias("u")).first()
+    assert tuple(row) == (want, want)
+
+
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        spans = [(rng.choice(["url", "domain", "explicit_file_reference", "ip_address"]), *sorted(rng.sample(range(40), 2))) for _ in range(rng.randrange(40))]
+        rows.append((i, spans))
+    df = spark.createDataFrame(rows, "i int, a array<struct<kind:string,start:int,end:int>>")
+    for r in df.select("i", indicators.covered(F.col("a")).alias("m")).collect():
+        spans = rows[r.i][1]
+        for m in r.m:
+            wide = [(s, e) for k, s, e in spans if k in ("url", "explicit_file_reference")]
+            if m.it.kind in ("domain", "ip_address"):
+                assert m.inside == any(s <= m.it.start and e >= m.it.end for s, e in wide)

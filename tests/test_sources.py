@@ -42,17 +42,50 @@ def test_catalog_and_function(spark, tmp_path):
         readings.read_catalog(spark, str(path))
 
 
-def test_corpus(spark, tmp_path):
-    case = {"case_id": "c", "fixture_path": "x.md", "family": "f", "role": "risky", "evidence_anchors": [{"name": "s", "literal": "once"}, {"name": "t", "literal": "two"}]}
+CASE = {
+    "case_id": "risky-one", "fixture_path": "x.md", "family": "f", "role": "risky", "location": "skill", "language": "en", "modality": "imperative", "paired_with": None,
+    "evidence_anchors": [{"name": n, "literal": f"{n} here"} for n in corpus.ANCHORS], "expected_facts": [{"fact": "send-data", "anchors": ["sink"]}], "forbidden_facts": [{"fact": "no-data", "anchors": ["source", "sink"]}],
+}
+MISS = CASE | {"case_id": "near-one", "fixture_path": "sub/y.md", "role": "near_miss", "modality": "quoted", "paired_with": "risky-one"}
+GOOD = "source here, action here, sink here, modality here http://a.invalid/ http://u@b.invalid:80"
+
+
+def manifest(tmp_path, *cases, version="1.0"):
     path = tmp_path / "m.json"
-    path.write_text(json.dumps({"cases": [case]}))
-    texts = spark.createDataFrame([("x.md", "two once two http://a.invalid/ http://b.example/")], "fixture_path string, text string")
-    loaded = corpus.with_text(corpus.read_manifest(spark, str(path)), texts)
-    assert {r.name: (r.start, r.end) for r in corpus.anchors(loaded).collect()} == {"s": (4, 8), "t": (None, None)}
-    assert corpus.unsafe(loaded, ()).count() == 1
-    path.write_text(json.dumps({"cases": [case | {"fixture_path": "../x"}]}))
+    path.write_text(json.dumps({"corpus_version": version, "cases": list(cases)}))
+    return str(path)
+
+
+def test_corpus(spark, tmp_path):
+    (tmp_path / "fixtures" / "sub").mkdir(parents=True)
+    (tmp_path / "fixtures" / "x.md").write_text(GOOD)
+    (tmp_path / "fixtures" / "sub" / "y.md").write_text("é" + GOOD)
+    cases = corpus.read_manifest(spark, manifest(tmp_path, CASE, MISS))
+    loaded = corpus.load(spark, cases, str(tmp_path / "fixtures"))
+    found = {(r.case_id, r.name): (r.start, r.end) for r in corpus.anchors(loaded).collect()}
+    assert found["risky-one", "source"] == (0, 11) and found["near-one", "sink"] == (GOOD.index("sink") + 1, GOOD.index("sink") + 10) and len(found) == 8
+    for text in ("twice: sink here " + GOOD, GOOD.replace("sink", ""), GOOD + " http://b.example/", GOOD + "\n#!/bin", GOOD + " AKIA" + "A" * 16, GOOD + " rm  -rf", GOOD + " -----BEGIN RSA PRIVATE KEY-----"):
+        (tmp_path / "fixtures" / "x.md").write_text(text)
+        with pytest.raises(corpus.CorpusError):
+            corpus.load(spark, cases, str(tmp_path / "fixtures"))
+
+
+@pytest.mark.parametrize(
+    "cases",
+    [
+        [], [CASE, CASE], [CASE | {"fixture_path": "../x"}], [CASE | {"fixture_path": "/x"}], [CASE | {"fixture_path": "a\\b"}], [CASE | {"fixture_path": "./x"}], [CASE | {"role": "other"}], [CASE | {"modality": "quoted"}], [CASE | {"extra": 1}],
+        [{k: v for k, v in CASE.items() if k != "expected_facts"}], [CASE | {"expected_facts": []}], [CASE | {"expected_facts": [{"fact": "send-data", "anchors": ["other"]}]}], [CASE | {"evidence_anchors": CASE["evidence_anchors"][:3]}],
+        [CASE | {"evidence_anchors": [a | {"literal": "same"} for a in CASE["evidence_anchors"]]}], [MISS], [CASE, MISS | {"family": "g"}], [CASE, MISS | {"modality": "imperative"}], [CASE, MISS | {"paired_with": "near-one"}], [CASE | {"case_id": "X"}],
+    ],
+)
+def test_unsound_manifests(spark, tmp_path, cases):
+    with pytest.raises(corpus.CorpusError):
+        corpus.read_manifest(spark, manifest(tmp_path, *cases))
+
+
+def test_manifest_version(spark, tmp_path):
     with pytest.raises(corpus.CorpusError):
-        corpus.read_manifest(spark, str(path))
+        corpus.read_manifest(spark, manifest(tmp_path, CASE, version="2"))
 
 
 def test_family_report(spark):

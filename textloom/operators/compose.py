@@ -9,6 +9,7 @@ from textloom.functions import ids
 from textloom.operators.canonical import canonical_entities, entity_conflicts, union_of
 from textloom.operators.graph import KEY, Facts
 from textloom.operators.indicators import entities as static_entities
+from textloom.plans.materialize import materialized
 
 COLUMNS = ["id", "type", "subtype", "value", "sensitivity", "trust", "evidence", "confidence", "underspecified"]
 
@@ -38,37 +39,65 @@ def enriched(facts: Facts, keys: DataFrame) -> Facts:
     return Facts(merge_static(facts.entities, static.drop("ordinal"), keys), facts.operations, facts.relationships, facts.artifacts)
 
 
-def decoded_links(facts: Facts, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """DECODES_TO relationships and the child entities to copy, for entities whose value is a decoded span.
+def _spans(facts: Facts, keys: DataFrame) -> DataFrame:
+    """(artifact_id, child, child_ordinal, size, at, value): the text that each decoded child with an accepted reading was made from.
 
-    An encoded blob is linked to the one child entity that stands for the whole decoded
-    text, any other entity to the one child entity of its type; more or fewer than one is no
-    link.  A child is read by its first accepted fragment, as it was before any linking.
+    ``at`` is the child's place among the artifacts; children act in this order.
     """
     first = keys.groupBy(F.col("artifact_id").alias("child")).agg(F.min("ordinal").alias("child_ordinal"))
     artifacts = facts.artifacts.dropDuplicates(["artifact_id"])
-    children = artifacts.filter("decode_provenance is not null").select(F.col("artifact_id").alias("child"), F.col("decode_provenance.parent_span").alias("at"), F.length("text").alias("size"))
+    place = F.col("position") if "position" in artifacts.columns else F.lit(0)
+    children = artifacts.filter("decode_provenance is not null").select(F.col("artifact_id").alias("child"), F.col("decode_provenance.parent_span").alias("span"), F.length("text").alias("size"), place.alias("at"))
     parents = artifacts.select("artifact_id", "text")
-    spans = children.join(parents, F.col("at.artifact_id") == F.col("artifact_id")).select("artifact_id", "child", "size", F.expr("substring(text, at.start + 1, at.end - at.start)").alias("value"))
-    spans = spans.join(first, "child")
-    raw = facts.entities.join(keys.select(*KEY), KEY, "left_semi").select(*KEY, F.col("id").alias("raw_id"), F.col("type").alias("raw_type"), "value", F.col("confidence").alias("raw_confidence"))
-    named = raw.join(spans, ["artifact_id", "value"])
-    theirs = facts.entities.select(F.col("artifact_id").alias("child"), F.col("ordinal").alias("child_ordinal"), F.struct(*COLUMNS).alias("r"))
+    out = children.join(first, "child").join(parents, F.col("span.artifact_id") == F.col("artifact_id"))
+    return out.select("artifact_id", "child", "child_ordinal", "size", "at", F.expr("substring(text, span.start + 1, span.end - span.start)").alias("value"))
+
+
+def _linked(raw: DataFrame, spans: DataFrame, entities: DataFrame) -> DataFrame:
+    """(key, raw_id, raw_confidence, at, r): each raw entity with the one child entity that its value decodes to.
+
+    An encoded blob is linked to the one child entity that stands for the whole decoded
+    text, any other entity to the one child entity of its type; more or fewer than one is no
+    link.  ``entities`` are those of before any linking.
+    """
+    named = raw.join(spans, ["artifact_id", "value"]).filter(F.col("at") > F.col("after"))
+    theirs = entities.select(F.col("artifact_id").alias("child"), F.col("ordinal").alias("child_ordinal"), F.struct(*COLUMNS).alias("r"))
     full = F.array(F.struct(F.col("child").alias("artifact_id"), F.lit(0).alias("start"), F.col("size").alias("end")))
     fits = F.when(F.col("raw_type") == "ENCODED_DATA", F.col("r.evidence") == full).otherwise(F.col("r.type") == F.col("raw_type"))
     pairs = named.join(theirs, ["child", "child_ordinal"]).filter(fits)
-    one = pairs.groupBy(*KEY, "raw_id", "raw_confidence", "child").agg(F.count("*").alias("n"), F.min("r").alias("r")).filter("n = 1")
-    links = one.select(
+    return pairs.groupBy(*KEY, "raw_id", "raw_confidence", "child", "at").agg(F.count("*").alias("n"), F.min("r").alias("r")).filter("n = 1").drop("n", "child")
+
+
+def decoded_links(facts: Facts, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DECODES_TO relationships and the child entities to copy, for entities whose value is a decoded span.
+
+    A child is read by its first accepted fragment, as it was before any linking.  An entity
+    that was copied from one child can itself be decoded by a later one, so this goes on
+    until nothing new is copied; where nothing is, that is one round.
+    """
+    spans = materialized(_spans(facts, keys))
+    mine = facts.entities.join(keys.select(*KEY), KEY, "left_semi")
+    raw = mine.select(*KEY, F.col("id").alias("raw_id"), F.col("type").alias("raw_type"), "value", F.col("confidence").alias("raw_confidence"), F.lit(-1).alias("after"))
+    found = every = materialized(_linked(raw, spans, facts.entities))
+    while not found.isEmpty():
+        raw = found.select(*KEY, F.col("r.id").alias("raw_id"), F.col("r.type").alias("raw_type"), F.col("r.value").alias("value"), F.col("r.confidence").alias("raw_confidence"), F.col("at").alias("after"))
+        found = materialized(_linked(raw.filter("value is not null"), spans, facts.entities))
+        every = every.union(found)
+    links = every.select(
         *KEY, ids.decodes_to_id(F.col("raw_id"), F.col("r.id")).alias("id"), F.col("raw_id").alias("source"), F.lit("DECODES_TO").alias("relation"), F.col("r.id").alias("target"),
-        F.col("r.evidence").alias("evidence"), F.least("raw_confidence", "r.confidence").alias("confidence"), F.lit(False).alias("underspecified"),
+        F.col("r.evidence").alias("evidence"), F.least("raw_confidence", "r.confidence").alias("confidence"), F.lit(False).alias("underspecified"), "at",
     )
-    return links.dropDuplicates([*KEY, "id"]), one.select(*KEY, "r.*").dropDuplicates([*KEY, "id"])
+    # Of one id the last child's stands.
+    last = lambda df, names: df.groupBy(*KEY, "id").agg(*(F.max_by(c, "at").alias(c) for c in names))
+    names = [c for c in links.columns if c not in (*KEY, "id", "at")]
+    copied = every.select(*KEY, "at", "r.*")
+    return last(links, names), last(copied, [c for c in COLUMNS if c != "id"]).select(*KEY, *COLUMNS)
 
 
 def resolved(facts: Facts, keys: DataFrame) -> Facts:
     """Facts with the decoded links of ``decoded_links`` and the entities they point at."""
     links, copied = decoded_links(facts, keys)
-    fresh = copied.join(facts.entities.select(*KEY, "id"), [*KEY, "id"], "left_anti")
+    kept_entities = facts.entities.join(copied.select(*KEY, "id"), [*KEY, "id"], "left_anti")
     names = facts.relationships.columns
     kept = facts.relationships.join(links.select(*KEY, "id"), [*KEY, "id"], "left_anti")
-    return Facts(facts.entities.select(*KEY, *COLUMNS).union(fresh.select(*KEY, *COLUMNS)), facts.operations, kept.select(*names).union(links.select(*names)), facts.artifacts)
+    return Facts(kept_entities.select(*KEY, *COLUMNS).union(copied.select(*KEY, *COLUMNS)), facts.operations, kept.select(*names).union(links.select(*names)), facts.artifacts)

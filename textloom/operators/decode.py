@@ -95,10 +95,11 @@ def candidates(text: Column, limits: DecodeLimits, sound: bool = False) -> Colum
     return F.filter(F.transform(F.filter(attempts, lambda a: a["why"].isNull()), decoded), lambda c: c["why"].isNull() & (c["text"] != ""))
 
 
-def child_id(text: Column, codec: Column, depth: int, parent: Column, span: Column, chain: Column) -> Column:
-    """Digest of the text's own id and its whole provenance, fields in alphabetical order."""
+def child_id(text: Column, codec: Column, depth: Column, parent: Column, span: Column, chain: Column, **inferred: Column) -> Column:
+    """Digest of the text's own id and its whole provenance, fields in alphabetical order; nulls are left out."""
     steps = F.transform(chain, lambda s: F.struct(s["codec"].alias("codec"), s["parent_artifact_id"].alias("parent_artifact_id"), _span_json(s["parent_span"]).alias("parent_span")))
-    provenance = F.struct(steps.alias("chain"), codec.alias("codec"), F.lit(depth).alias("depth"), parent.alias("parent_artifact_id"), _span_json(span).alias("parent_span"))
+    fields = {"chain": steps, "codec": codec, "depth": depth, "parent_artifact_id": parent, "parent_span": _span_json(span), **inferred}
+    provenance = F.struct(*(fields[name].alias(name) for name in sorted(fields)))
     return F.sha2(ids.json_of(provenance.alias("decode_provenance"), ids.content_id(text).alias("text_id"), keep_nulls=False).cast("binary"), 256)
 
 
@@ -106,7 +107,7 @@ def _span_json(span: Column) -> Column:
     return F.struct(span["artifact_id"].alias("artifact_id"), span["end"].alias("end"), span["start"].alias("start"))
 
 
-def _level(above: Column, depth: int, limits: DecodeLimits, sound: bool) -> Column:
+def _level(above: Column, limits: DecodeLimits, sound: bool) -> Column:
     """The candidates (or the sound ones) in the texts of ``above``, without regard to the budget."""
 
     def inside(f: Column) -> Column:
@@ -115,10 +116,11 @@ def _level(above: Column, depth: int, limits: DecodeLimits, sound: bool) -> Colu
     def placed(f: Column, c: Column, i: Column) -> Column:
         span = F.struct(f["artifact_id"].alias("artifact_id"), c["start"].alias("start"), c["end"].alias("end"))
         step = F.struct(f["parent_artifact_id"].alias("parent_artifact_id"), f["parent_span"].alias("parent_span"), f["codec"].alias("codec"))
-        chain = F.concat(f["chain"], F.array(step)) if depth > 1 else f["chain"]
-        own = F.when(c["text"].isNotNull(), child_id(c["text"], c["codec"], depth, f["artifact_id"], span, chain))
+        chain = F.when(f["parent_artifact_id"].isNull(), f["chain"]).otherwise(F.concat(f["chain"], F.array(step)))
+        below = f["depth"] + 1
+        own = F.when(c["text"].isNotNull(), child_id(c["text"], c["codec"], below, f["artifact_id"], span, chain))
         return F.struct(
-            F.concat(f["path"], F.array(i)).alias("path"), F.lit(depth).alias("depth"), own.alias("artifact_id"), f["artifact_id"].alias("parent_artifact_id"), span.alias("parent_span"),
+            F.concat(f["path"], F.array(i)).alias("path"), below.alias("depth"), own.alias("artifact_id"), f["artifact_id"].alias("parent_artifact_id"), span.alias("parent_span"),
             c["codec"].alias("codec"), chain.alias("chain"), c["why"].alias("why"), c["n_bytes"].alias("n_bytes"), c["text"].alias("text"),
         )
 
@@ -137,7 +139,7 @@ def _refusal(x: Column, children: Column, used: Column, limits: DecodeLimits) ->
 
     return (
         F.when(x["why"].isNotNull(), x["why"])
-        .when(x["depth"] > limits.max_depth, say("decode_limit", "decode depth limit reached"))
+        .when(F.size(x["path"]) > limits.max_depth, say("decode_limit", "decode depth limit reached"))
         .when(children >= limits.max_children, say("decode_limit", "virtual child limit reached"))
         .when(used + x["n_bytes"] > limits.max_aggregate_bytes, say("decode_limit", "aggregate decoded byte limit reached"))
         .when(x["text"].isNull(), say("decode_non_text", "decoded bytes are not strict UTF-8 text"))
@@ -180,19 +182,22 @@ def _told(steps: Column, accepted: Column, limits: DecodeLimits) -> Column:
 def expand(artifacts: DataFrame, limits: DecodeLimits = DecodeLimits(), sound: bool = False) -> DataFrame:
     """All outcomes of (artifact_id, text): one row each, ``ordinal`` in depth-first order, ``why`` null for children.
 
-    ``root_id`` is the artifact searched.  A null text has no candidates.  ``sound``: the
-    accepted children only, which is much cheaper as most candidates are plain words;
-    ``ordinal`` and ``path`` then count these alone.
+    ``root_id`` is the artifact searched.  A null text has no candidates.  Where artifacts have
+    a ``decode_provenance``, that of their children goes on from it; the limits count from the
+    artifact searched.  ``sound``: the accepted children only, which is much cheaper as most
+    candidates are plain words; ``ordinal`` and ``path`` then count these alone.
     """
     none = F.lit(None)
+    made = lambda name, kind: (F.col(f"decode_provenance.{name}") if "decode_provenance" in artifacts.columns else none).cast(kind)
     top = F.struct(
-        F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.col("artifact_id"), none.cast("string").alias("parent_artifact_id"), none.cast(SPAN).alias("parent_span"),
-        none.cast("string").alias("codec"), F.array().cast(f"array<{STEP}>").alias("chain"), none.cast("struct<code:string,message:string>").alias("why"), none.cast("int").alias("n_bytes"), F.col("text"),
+        F.array().cast("array<int>").alias("path"), F.coalesce(made("depth", "int"), F.lit(0)).alias("depth"), F.col("artifact_id"), made("parent_artifact_id", "string").alias("parent_artifact_id"),
+        made("parent_span", SPAN).alias("parent_span"), made("codec", "string").alias("codec"), F.coalesce(made("chain", f"array<{STEP}>"), F.array().cast(f"array<{STEP}>")).alias("chain"),
+        none.cast("struct<code:string,message:string>").alias("why"), none.cast("int").alias("n_bytes"), F.col("text"),
     )
     rows = artifacts.select(F.col("artifact_id").alias("root_id"), F.array(top).cast(f"array<{KIND}>").alias("_0"))
     levels = list(range(1, limits.max_depth + (1 if sound else 2)))
     for depth in levels:  # one below the limit is looked at only to say that the limit was met
-        rows = rows.withColumn(f"_{depth}", _level(F.col(f"_{depth - 1}"), depth, limits, sound).cast(f"array<{KIND}>"))
+        rows = rows.withColumn(f"_{depth}", _level(F.col(f"_{depth - 1}"), limits, sound).cast(f"array<{KIND}>"))
     steps = F.concat(*(f"_{depth}" for depth in levels)) if len(levels) > 1 else F.col("_1")
     rows = rows.select("root_id", (F.array_sort(steps) if len(levels) > 1 else steps).alias("steps"))  # by path: a parent comes before what it holds
     rows = rows.withColumn("accepted", _accepted(F.col("steps"), limits))

@@ -8,13 +8,16 @@ query crosses fragments, so every join here is on that key and partitions by it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import regex, vocab
 from textloom.plans.materialize import materialized
+from textloom.shipping import ship
 
 KEY = ["artifact_id", "ordinal"]
 
@@ -108,6 +111,16 @@ def operation_edges(operations: DataFrame) -> DataFrame:
     return made.join(used, [*KEY, "entity"]).select(*KEY, "source", "target", F.col("target").alias("edge")).distinct()
 
 
+def _within(hop: DataFrame, frontier: DataFrame, max_depth: int) -> DataFrame:
+    """As ``reachable``, with a bound: each round is one join with the nodes' neighbours, and stays are kept along."""
+    near = hop.groupBy(*KEY, "target").agg(F.collect_set("_next").alias("_near"))
+    none = F.array().cast("array<string>")
+    for _ in range(max_depth):
+        step = frontier.join(near, [*KEY, "target"], "left")
+        frontier = step.select(*KEY, "source", F.explode(F.concat(F.array("target"), F.coalesce("_near", none))).alias("target")).distinct()
+    return frontier
+
+
 def reachable(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(key, source, target) for every node within reach of (key, source), itself included.
 
@@ -116,17 +129,13 @@ def reachable(edges: DataFrame, sources: DataFrame, max_depth: int | None = None
     """
     hop = edges.select(*KEY, F.col("source").alias("target"), F.col("target").alias("_next")).distinct()
     frontier = sources.select(*KEY, "source", F.col("source").alias("target")).distinct()
-    if max_depth is None:
-        hop, frontier = materialized(hop), materialized(frontier)
-    seen, depth = frontier, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
+    if max_depth is not None:
+        return _within(hop, frontier, max_depth)
+    hop, seen = materialized(hop), materialized(frontier)
+    frontier = seen
+    while not frontier.isEmpty():
         reached = frontier.join(hop, [*KEY, "target"]).select(*KEY, "source", F.col("_next").alias("target")).distinct()
-        frontier = reached.join(seen, [*KEY, "source", "target"], "left_anti")
-        if max_depth is None:
-            frontier = materialized(frontier)
-            if frontier.isEmpty():
-                break
+        frontier = materialized(reached.join(seen, [*KEY, "source", "target"], "left_anti"))
         seen = seen.union(frontier)
     return seen
 
@@ -160,7 +169,55 @@ def paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> D
                 return found
 
 
+def _first_path(near: dict[str, dict[str, str]], source: str, sink: str, depth: int | None) -> tuple[list[str], list[str]] | None:
+    """The simple path that comes first: at each node the smallest neighbour from which the rest can still be walked."""
+
+    def open_(start: str, steps: int | None, shut: set[str]) -> bool:
+        """Whether the sink is within so many steps without entering ``shut``."""
+        seen, front = {start}, [start]
+        while front and sink not in seen and (steps is None or steps > 0):
+            front = [n for f in front for n in near.get(f, ()) if n not in seen and n not in shut and not seen.add(n)]
+            steps = None if steps is None else steps - 1
+        return sink in seen
+
+    nodes, edges, walked = [source], [], {source}
+    if not open_(source, depth, set()):
+        return None
+    while nodes[-1] != sink:
+        left = None if depth is None else depth - len(edges) - 1
+        node = next(n for n in sorted(near[nodes[-1]]) if n not in walked and open_(n, left, walked))
+        edges.append(near[nodes[-1]][node])
+        nodes.append(node)
+        walked.add(node)
+    return nodes, edges
+
+
 def first_paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """For each pair the path that comes first by its nodes, then its edges."""
-    best = paths(edges, pairs, max_depth).groupBy(*KEY, "source", "sink").agg(F.min(F.struct("nodes", "edges")).alias("p"))
-    return best.select(*KEY, "source", "sink", "p.nodes", "p.edges")
+    """For each pair (key, source, sink) the simple path that comes first by its nodes, then its edges.
+
+    Listing all simple paths is exponential, and a join cannot look ahead, so this one walk
+    is Python's: one shuffle brings each fragment's edges and pairs together, sorted, and a
+    worker reads them fragment by fragment.  A walk costs at most nodes x edges of a fragment,
+    which is one document's reading and is held whole.
+    """
+    links = edges.groupBy(*KEY, F.col("source").alias("a"), F.col("target").alias("b")).agg(F.min("edge").alias("edge"))
+    asked = pairs.select(*KEY, F.col("source").alias("a"), F.col("sink").alias("b")).distinct().withColumn("edge", F.lit(None).cast("string"))
+    rows = links.join(asked.select(*KEY).distinct(), KEY, "left_semi").unionByName(asked)
+    rows = rows.withColumn("ordinal", F.col("ordinal").cast("int")).repartition(*KEY).sortWithinPartitions(*KEY, F.col("edge").isNull())
+    schema = pa.schema([("artifact_id", pa.string()), ("ordinal", pa.int32()), ("source", pa.string()), ("sink", pa.string()), ("nodes", pa.list_(pa.string())), ("edges", pa.list_(pa.string()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, near = None, {}
+        for batch in batches:
+            out = []
+            for artifact, ordinal, a, b, edge in zip(*(c.to_pylist() for c in batch.columns)):
+                if (artifact, ordinal) != at:
+                    at, near = (artifact, ordinal), {}
+                if edge is not None:
+                    near.setdefault(a, {})[b] = edge
+                elif found := _first_path(near, a, b, max_depth):
+                    out.append((artifact, ordinal, a, b, *found))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ((),) * 6, schema)], schema=schema)
+
+    ship(edges.sparkSession)
+    return rows.select("artifact_id", "ordinal", "a", "b", "edge").mapInArrow(run, "artifact_id string, ordinal int, source string, sink string, nodes array<string>, edges array<string>")

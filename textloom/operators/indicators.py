@@ -1,17 +1,20 @@
 """Promotion of annotations to entities that need no model: destinations, files, variables.
 
-In-row like the annotators; the containment test of domains in urls and file names runs
-over the few annotations of one text.
+In-row like the annotators.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from ipaddress import ip_network
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import ids, vocab
 from textloom.functions import patterns as P
 from textloom.operators.annotate import annotations
+from textloom.operators.spans import let, running
 
 ENTITY = (
     "struct<id:string,type:string,subtype:string,value:string,sensitivity:string,trust:string,"
@@ -24,26 +27,48 @@ def supported_domain(value: Column) -> Column:
 
 
 def host_of(value: Column) -> Column:
-    """Host of a url, or the value itself; lower case, without trailing dots."""
-    netloc = F.regexp_extract(value, "://([^/?#]*)", 1)
-    name = F.substring_index(F.substring_index(netloc, "@", -1), ":", 1)
+    """Host of a url, or the value itself; lower case, without trailing dots or brackets."""
+    netloc = F.substring_index(F.regexp_extract(value, "://([^/?#]*)", 1), "@", -1)
+    name = F.when(netloc.startswith("["), F.regexp_extract(netloc, r"^\[([^\]]*)\]", 1)).otherwise(F.substring_index(netloc, ":", 1))
     return F.lower(F.rtrim(F.when(value.contains("://"), name).otherwise(value), F.lit(".")))
 
 
-def local_destination(value: Column) -> Column:
-    """Whether a destination is a localhost name or a well-formed address in a local network.
+def _local_four(host: Column) -> Column:
+    """Whether a host is an IPv4 address in a local network; false for malformed ones."""
+    octet = "(?:0|[1-9][0-9]{0,2})"
+    shape = host.rlike(rf"^{octet}(?:\.{octet}){{3}}$")
+    parts = [F.get(F.split(host, r"\."), F.lit(k)).cast("long") for k in range(4)]
+    number = reduce(lambda n, p: n * 256 + p, parts)
+    nets = [ip_network(n) for n in vocab.LOCAL_NETWORKS if "." in n]
+    inside = reduce(Column.__or__, [number.between(int(n.network_address), int(n.broadcast_address)) for n in nets])
+    return F.when(shape, F.when(reduce(Column.__and__, [p <= 255 for p in parts]), inside).otherwise(False)).otherwise(False)
+
+
+def _local_six(host: Column) -> Column:
+    """Whether a host is an IPv6 address, in groups of hexadecimal digits, in a local network."""
+    sides = F.split(host, "::", -1)
+    groups = lambda k: F.filter(F.split(F.coalesce(F.get(sides, F.lit(k)), F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(0), groups(1)
+    n = F.size(left) + F.size(right)
+    shape = host.rlike("^[0-9a-f:]+$") & ~host.rlike(":::|^:[^:]|[^:]:$") & F.forall(F.concat(left, right), lambda g: F.length(g) <= 4)
+    whole = shape & F.when(F.size(sides) == 1, n == 8).otherwise((F.size(sides) == 2) & (n <= 7))
+    full = F.concat(left, F.array_repeat(F.lit("0"), 8 - n), right)
+    top = F.conv(F.get(full, F.lit(0)), 16, 10).cast("long")
+    tests = []
+    for net in (ip_network(x) for x in vocab.LOCAL_NETWORKS if ":" in x):
+        if net.prefixlen <= 16:
+            low, high = (int(a) >> 112 for a in (net.network_address, net.broadcast_address))
+            tests.append(top.between(low, high))
+        else:  # a single address
+            last = int(net.network_address)
+            tests.append(F.forall(F.slice(full, 1, 7), lambda g: g.rlike("^0+$")) & (F.conv(F.get(full, F.lit(7)), 16, 10).cast("long") == last))
+    return F.when(whole, reduce(Column.__or__, tests)).otherwise(False)
 
-    Annotated values never hold IPv6 literals (their patterns have neither brackets nor bare
-    colons), so only the IPv4 networks can match.
-    """
+
+def local_destination(value: Column) -> Column:
+    """Whether a destination is a localhost name or a well-formed address in a local network."""
     host = host_of(value)
-    octet = "(?:0|[1-9][0-9]{0,2})"
-    part = [F.try_to_number(F.regexp_extract(host, rf"^({octet})\.({octet})\.({octet})\.({octet})$", k), F.lit("999")) for k in (1, 2, 3, 4)]
-    a, b, c, d = part
-    inside = a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
-    address = host.rlike(rf"^{octet}(?:\.{octet}){{3}}$")
-    fits = (a <= 255) & (b <= 255) & (c <= 255) & (d <= 255)
-    return (host == "localhost") | host.endswith(".localhost") | F.coalesce(F.when(address, fits & inside), F.lit(False))
+    return (host == "localhost") | host.endswith(".localhost") | _local_four(host) | F.when(host.contains(":"), _local_six(host)).otherwise(False)
 
 
 def clear_file_reference(text: Column, start: Column, end: Column) -> Column:
@@ -53,8 +78,23 @@ def clear_file_reference(text: Column, start: Column, end: Column) -> Column:
     return before.rlike(P.FILE_ACTION_BEFORE) | before.rlike(P.FILE_LABEL_BEFORE) | (before.contains("`") & after.contains("`"))
 
 
-def contained(a: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] <= a["start"]) & (o["end"] >= a["end"]))
+WIDE = ("url", "explicit_file_reference")
+
+
+def covered(found: Column) -> Column:
+    """(it, inside) for each annotation of a text: whether a url or file reference holds its whole span.
+
+    By start, wide ones first: then a span lies inside one of those before it exactly if the
+    furthest of their ends is not before its own end.  That is a running maximum, whatever
+    the number of either kind.
+    """
+    order = F.transform(found, lambda a: F.struct(a["start"].alias("start"), (~a["kind"].isin(*WIDE)).alias("narrow"), a["end"].alias("end"), a.alias("it")))
+
+    def marked(rows: Column) -> Column:
+        reach = running(F.transform(rows, lambda r: F.when(r["narrow"], 0).otherwise(r["end"])), F.greatest)
+        return F.zip_with(rows, F.slice(reach, F.lit(1), F.size(rows)), lambda r, e: F.struct(r["it"].alias("it"), (r["narrow"] & (e >= r["end"])).alias("inside")))
+
+    return let(F.array_sort(order), marked)
 
 
 def static_entities(text: Column, artifact_id: Column, suppress: bool = True) -> Column:
@@ -63,19 +103,19 @@ def static_entities(text: Column, artifact_id: Column, suppress: bool = True) ->
     found = annotations(whole, tuple(vocab.PROMOTED))
 
     def over(found: Column) -> Column:
-        wide = F.filter(found, lambda o: o["kind"].isin("url", "explicit_file_reference"))
-
-        def wanted(a: Column) -> Column:
-            domain = (a["kind"] != "domain") | (supported_domain(a["value"]) & (~contained(a, wide) if suppress else F.lit(True)))
+        def wanted(m: Column) -> Column:
+            a = m["it"]
+            domain = (a["kind"] != "domain") | (supported_domain(a["value"]) & (~m["inside"] if suppress else F.lit(True)))
             return domain & ((a["kind"] != "explicit_file_reference") | clear_file_reference(whole, a["start"], a["end"]))
 
-        def entity(a: Column) -> Column:
+        def entity(m: Column) -> Column:
+            a = m["it"]
             value = F.when(a["kind"] == "environment_variable", F.get(a["normalized_values"], F.lit(0))).when(a["kind"] == "url", F.rtrim(a["value"], F.lit(".,;!?"))).otherwise(a["value"])
             kind = F.element_at(F.create_map(*(F.lit(x) for pair in vocab.PROMOTED.items() for x in pair)), a["kind"])
             trust = F.when(kind == "NETWORK_DESTINATION", F.when(local_destination(value), "UNKNOWN").otherwise("EXTERNAL")).otherwise("UNKNOWN")
             return F.struct(kind.alias("type"), value.alias("value"), a["start"].alias("start"), a["end"].alias("end"), trust.alias("trust"))
 
-        entities = F.array_distinct(F.transform(F.filter(found, wanted), entity))
+        entities = F.array_distinct(F.transform(F.filter(covered(found), wanted), entity))
         return F.filter(entities, lambda e: (F.length(e["value"]).between(1, 256)) & ~e["value"].rlike(f"[{P.WS}]"))
 
     def full(e: Column) -> Column:
@@ -91,8 +131,7 @@ def static_entities(text: Column, artifact_id: Column, suppress: bool = True) ->
             F.lit(False).alias("underspecified"),
         )
 
-    # A one-element array binds the annotations once for the three uses of them.
-    return F.transform(F.flatten(F.transform(F.array(found), over)), full)
+    return F.transform(over(found), full)
 
 
 def entities(artifacts: DataFrame) -> DataFrame:

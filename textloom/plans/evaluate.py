@@ -1,11 +1,13 @@
 """Compilation of a rule to joins over facts: the first complete match of each fragment.
 
-Selectors are taken in the order of their names.  Each becomes a filtered table with a
-rank (its id, or its earliest evidence where the selector was written with ``any``), and a
-condition is applied as soon as the selectors that it names are bound; modality is folded
-into the selector's filter.  The first match is the minimum of the ranks in selector order, an
-aggregate with a partial step, so no fragment is sorted or enumerated beyond it.  Evidence is
-looked up only for that match.
+Each selector becomes a filtered table with a rank (its id, or its earliest evidence where
+the selector was written with ``any``); modality is folded into its filter.  Each condition
+between two selectors is a table of the pairs that meet it, and selectors are joined along
+these pairs, so nothing is ever paired that no condition pairs.  Selectors that share no
+condition, directly or through others, choose independently of each other: of each such
+group the first match is the minimum of the ranks in selector order, an aggregate with a
+partial step, and one row a fragment of each group is put together.  Evidence is looked up
+only for that match.
 """
 
 from __future__ import annotations
@@ -55,10 +57,6 @@ def _references(name: str, role: str) -> Column:
     return F.filter(F.concat(*parts.values()) if role == "any" else parts[role], lambda r: r.isNotNull())
 
 
-def _on(left: str, right: str, relationships: DataFrame) -> list[Column]:
-    return [F.col(f"r_{k}") == F.col(k) for k in KEY] + [F.col("r_source") == _id(left), F.col("r_target") == _id(right)]
-
-
 def _renamed(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).alias(f"r_{c}") for c in df.columns))
 
@@ -71,61 +69,88 @@ def _edges(c: Condition, facts: Facts) -> DataFrame:
     return operation_edges(facts.operations) if c.name == "sequence" else edges_of(facts.relationships, c.spec["kind"])
 
 
-def _decodings(facts: Facts) -> DataFrame:
-    rows = facts.relationships.filter("relation = 'DECODES_TO'")
-    return _renamed(rows.groupBy(*KEY, "target").agg(F.collect_set("source").alias("sources")))
+ENDS = {"uses": ("operation", "entity")}
 
 
-def _apply(bound: DataFrame, c: Condition, facts: Facts) -> DataFrame:
-    s = c.spec
-    if c.name in ("direct", "trust_boundary"):
-        rows = _renamed(_relations(c, facts).select(*KEY, "source", "target"))
-        return bound.join(rows, _on(s["from"], s["to"], rows), "left_semi")
-    if c.name in ("path", "distance", "sequence"):
-        ends = bound.select(*KEY, _id(s["from"]).alias("source")).distinct()
-        rows = _renamed(reachable(_edges(c, facts), ends, s.get("max_depth")))
-        return bound.join(rows, _on(s["from"], s["to"], rows), "left_semi")
-    if c.name == "uses":
-        refers = _references(s["operation"], s["role"])
-        own = F.array_contains(refers, _id(s["entity"]))
-        rows = _decodings(facts)
-        out = bound.join(rows, [F.col(f"r_{k}") == F.col(k) for k in KEY] + [F.col("r_target") == _id(s["entity"])], "left")
-        return _kept(out, own | F.coalesce(F.arrays_overlap(refers, F.col("r_sources")), F.lit(False)))
-    return bound  # modality is in the selector's filter, decoded_from in the fragments
+def _ends(c: Condition) -> tuple[str, str]:
+    return tuple(c.spec[k] for k in ENDS.get(c.name, ("from", "to")))
 
 
-def _kept(df: DataFrame, test: Column) -> DataFrame:
-    return df.filter(test).select(*(F.col(f"`{c}`") for c in df.columns if not c.startswith("r_")))
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.withColumns({"source": F.col("target"), "target": F.col("source")})
 
 
-def _named(c: Condition) -> set[str]:
-    return {c.spec[k] for k in ("from", "to", "selector", "operation", "entity") if k in c.spec}
+def _pairs(c: Condition, facts: Facts, bound: DataFrame | None, candidates: dict[str, DataFrame]) -> DataFrame:
+    """(key, one, two): the records that meet a condition between two selectors, the first of them among ``bound`` or the candidates."""
+    left, right = _ends(c)
+    some = lambda name: (bound if bound is not None and f"{name}.id" in bound.columns else candidates[name]).select(*KEY, _id(name).alias("source")).distinct()
+    if c.name in ("direct", "trust_boundary"):
+        found = _relations(c, facts)
+    elif c.name == "uses":
+        columns = [f"{left}.{x}" for x in ("id", "actor", "inputs", "outputs", "destination")]
+        rows = candidates[left].select(*KEY, *(F.col(f"`{x}`") for x in columns))
+        own = rows.select(*KEY, _id(left).alias("source"), F.explode(_references(left, c.spec["role"])).alias("target"))
+        hop = facts.relationships.filter("relation = 'DECODES_TO'").select(*KEY, F.col("source").alias("target"), F.col("target").alias("_to"))
+        found = own.unionByName(own.join(hop, [*KEY, "target"]).select(*KEY, "source", F.col("_to").alias("target")))
+    elif bound is not None and f"{left}.id" not in bound.columns:  # walk back from the end that is known
+        found = _turned(reachable(_turned(_edges(c, facts)), some(right), c.spec.get("max_depth")))
+    else:
+        found = reachable(_edges(c, facts), some(left), c.spec.get("max_depth"))
+    return found.select(*KEY, F.col("source").alias("one"), F.col("target").alias("two")).distinct()
+
+
+def _with(bound: DataFrame, c: Condition, facts: Facts, candidates: dict[str, DataFrame]) -> DataFrame:
+    """``bound`` with the condition applied, and joined with the candidates of the end that is not bound yet."""
+    pairs = _renamed(_pairs(c, facts, bound, candidates))
+    ends = dict(zip(_ends(c), ("r_one", "r_two"))) if len(set(_ends(c))) == 2 else {}
+    same = [F.col(f"r_{k}") == F.col(k) for k in KEY]
+    new = [n for n in ends if f"{n}.id" not in bound.columns]
+    if not new:
+        on = [F.col(x) == _id(n) for n, x in zip(_ends(c), ("r_one", "r_two"))]
+        return bound.join(pairs, same + on, "left_semi")
+    (old,) = (n for n in ends if n not in new)
+    out = bound.join(pairs, [*same, F.col(ends[old]) == _id(old)]).drop(*(f"r_{k}" for k in KEY), ends[old])
+    fresh = candidates[new[0]].withColumnRenamed("artifact_id", "c_artifact_id").withColumnRenamed("ordinal", "c_ordinal")
+    out = out.join(fresh, [F.col("c_artifact_id") == F.col("artifact_id"), F.col("c_ordinal") == F.col("ordinal"), F.col(ends[new[0]]) == _id(new[0])])
+    return out.drop("c_artifact_id", "c_ordinal", ends[new[0]])
+
+
+def _groups(names: list[str], conditions: list[Condition]) -> list[list[str]]:
+    """Selectors that conditions connect, directly or through others."""
+    of = {n: {n} for n in names}
+    for c in conditions:
+        left, right = _ends(c)
+        joined = of[left] | of[right]
+        for n in joined:
+            of[n] = joined
+    return sorted({tuple(sorted(g)) for g in of.values()})
 
 
 def first_matches(rule: Rule, facts: Facts, keys: DataFrame) -> DataFrame:
     """The first match of each fragment in ``keys``: the selected records' ids (and references) by selector."""
-    bound = keys.select(*KEY)
+    fragments = keys.select(*KEY)
     for c in rule.where:
         if c.name == "decoded_from":
             made = F.col("decode_provenance.codec")
             good = facts.artifacts.filter(made.isNotNull() if c.spec.get("codec") is None else made == c.spec["codec"])
-            bound = bound.join(good.select("artifact_id").distinct(), "artifact_id", "left_semi")
-    names, waiting = sorted(rule.select), [c for c in rule.where if c.name not in ("modality", "decoded_from")]
-    done: set[str] = set()
-    # Any order of joins gives the same matches; selectors that share conditions go together.
-    left = list(names)
-    while left:
-        name = max(left, key=lambda n: (sum(n in _named(c) and bool(_named(c) & done) for c in waiting), -names.index(n)))
-        left.remove(name)
-        bound = bound.join(_candidates(rule, name, facts), KEY)
-        done.add(name)
-        for c in [c for c in waiting if _named(c) <= done]:
-            bound = _apply(bound, c, facts)
-            waiting.remove(c)
-    rest = [c for c in bound.columns if c not in KEY and not c.endswith(".rank")]
-    rank = F.struct(*(F.col(f"`{n}.rank`").alias(f"k{i}") for i, n in enumerate(names)))
-    best = bound.groupBy(*KEY).agg(F.min(F.struct(rank.alias("rank"), F.struct(*(F.col(f"`{c}`").alias(c) for c in rest)).alias("rest"))).alias("m"))
-    return best.select(*KEY, *(F.col(f"m.rest.`{c}`").alias(c) for c in rest))
+            fragments = fragments.join(good.select("artifact_id").distinct(), "artifact_id", "left_semi")
+    candidates = {n: _candidates(rule, n, facts) for n in rule.select}
+    waiting = [c for c in rule.where if c.name not in ("modality", "decoded_from")]
+    for group in _groups(sorted(rule.select), waiting):
+        left = [c for c in waiting if set(_ends(c)) <= set(group)]
+        left.sort(key=lambda c: c.name in ("path", "sequence"))  # what needs no search comes first
+        done = {group[0] if not left else _ends(left[0])[0]}
+        bound = candidates[next(iter(done))]
+        while left:
+            c = next(c for c in left if set(_ends(c)) & done)
+            bound = _with(bound, c, facts, candidates)
+            done |= set(_ends(c))
+            left.remove(c)
+        rest = [c for c in bound.columns if c not in KEY and not c.endswith(".rank")]
+        rank = F.struct(*(F.col(f"`{n}.rank`").alias(f"k{i}") for i, n in enumerate(group)))
+        best = bound.groupBy(*KEY).agg(F.min(F.struct(rank.alias("rank"), F.struct(*(F.col(f"`{c}`").alias(c) for c in rest)).alias("rest"))).alias("m"))
+        fragments = fragments.join(best.select(*KEY, *(F.col(f"m.rest.`{c}`").alias(c) for c in rest)), KEY)
+    return fragments
 
 
 def _evidence_ids(rule: Rule, facts: Facts, first: DataFrame) -> DataFrame:
@@ -135,7 +160,7 @@ def _evidence_ids(rule: Rule, facts: Facts, first: DataFrame) -> DataFrame:
         s = c.spec
         if c.name in ("direct", "trust_boundary"):
             rows = _renamed(_relations(c, facts).select(*KEY, "source", "target", "id"))
-            parts.append(first.join(rows, _on(s["from"], s["to"], rows)).select(*KEY, F.lit("relationship").alias("record_type"), F.col("r_id").alias("id")))
+            parts.append(first.join(rows, [F.col(f"r_{k}") == F.col(k) for k in KEY] + [F.col("r_source") == _id(s["from"]), F.col("r_target") == _id(s["to"])]).select(*KEY, F.lit("relationship").alias("record_type"), F.col("r_id").alias("id")))
         elif c.name in ("path", "distance", "sequence"):
             pairs = first.select(*KEY, _id(s["from"]).alias("source"), _id(s["to"]).alias("sink"))
             way = first_paths(_edges(c, facts), pairs, s.get("max_depth"))

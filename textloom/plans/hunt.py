@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom import schemas
 from textloom.functions import ids
 from textloom.operators.graph import KEY, Facts
 from textloom.plans.evaluate import evaluate
 from textloom.plans.materialize import materialized
 from textloom.plans.rules import Rule
 
-MAX_DEPTH = 16
-
 
 def unsupported(facts: Facts) -> DataFrame:
     """Keys of fragments with a piece of evidence that no artifact's text supports."""
@@ -28,47 +27,61 @@ def diagnostics(facts: Facts) -> DataFrame:
     return unsupported(facts).select("artifact_id", "ordinal", F.lit("invalid_canonical_evidence").alias("code"), F.lit("Canonical evidence does not match its source text.").alias("message"))
 
 
-def root_spans(spans: DataFrame, artifacts: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
-    """``spans`` (with a struct ``span``) with ``root``: the span in the input that it comes from.
+def root_of(artifacts: DataFrame) -> DataFrame:
+    """(artifact_id, root): the span in the input that each decoded artifact comes from.
 
-    Climbs from child to parent while the parent is known, at most ``rounds`` times; a cycle
-    gives the span itself back.
+    A provenance tells all steps from the input down, so nothing is climbed: the root is the
+    first step from which all parents down to the artifact are known.  Only decoded artifacts'
+    steps are joined, with the ids of all artifacts.
+    """
+    has = lambda name: name in artifacts.select("decode_provenance.*").columns
+    if "decode_provenance" not in artifacts.columns:
+        return artifacts.select("artifact_id").limit(0).withColumn("root", F.lit(None).cast(schemas.SPAN))
+    made = F.col("decode_provenance")
+    own = F.array(made["parent_span"])
+    above = F.coalesce(F.transform(made["chain"], lambda s: s["parent_span"]), F.array().cast(schemas.EVIDENCE)) if has("chain") else F.array().cast(schemas.EVIDENCE)
+    virtual = artifacts.filter(made.isNotNull()).select("artifact_id", F.concat(above, own).cast(schemas.EVIDENCE).alias("steps")).dropDuplicates(["artifact_id"])
+    steps = virtual.select("artifact_id", F.posexplode("steps").alias("k", "span")).withColumn("parent", F.col("span.artifact_id"))
+    known = artifacts.select(F.col("artifact_id").alias("parent")).distinct().withColumn("known", F.lit(True))
+    steps = steps.join(known, "parent", "left")
+    rows = steps.groupBy("artifact_id").agg(F.array_sort(F.collect_list(F.struct("k", "known", "span"))).alias("steps"))
+    gap = F.coalesce(F.array_max(F.transform(F.filter("steps", lambda s: s["known"].isNull()), lambda s: s["k"])), F.lit(-1))
+    return rows.select("artifact_id", F.get("steps", gap + 1)["span"].alias("root")).filter("root is not null")
+
+
+def root_spans(spans: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """``spans`` (with a struct ``span``) with ``root``: the span in the input that it comes from, or itself."""
+    up = root_of(artifacts).select(F.col("artifact_id").alias("_id"), F.col("root").alias("_root"))
+    out = spans.join(up, F.col("span.artifact_id") == F.col("_id"), "left")
+    return out.withColumn("root", F.coalesce("_root", "span")).drop("_id", "_root")
+
+
+def hints(spans: DataFrame, artifacts: DataFrame, by: list[str]) -> DataFrame:
+    """For each ``by`` the sorted distinct places (source name, artifact, start, end, line, column) of its spans.
+
+    Places are found once for each text: only the starts go to the texts, and only places come back.
     """
-    up = artifacts.select(F.col("artifact_id").alias("_id"), F.col("decode_provenance.parent_span").alias("_up"), F.col("decode_provenance.parent_artifact_id").alias("_parent")).dropDuplicates(["_id"])
-    known = up.select(F.col("_id").alias("_known"))
-    up = up.filter("_parent is not null").join(known, F.col("_parent") == F.col("_known"), "left_semi").select("_id", "_up")
-    out = spans.withColumns({"root": F.col("span"), "_seen": F.array("span.artifact_id")})
-    for _ in range(rounds):
-        out = out.join(up, F.col("root.artifact_id") == F.col("_id"), "left")
-        loop = F.array_contains("_seen", F.col("_up.artifact_id"))
-        moved = F.when(loop, F.col("span")).when(F.col("_up").isNotNull(), F.col("_up")).otherwise(F.col("root"))
-        seen = F.when(F.col("_up").isNotNull() & ~loop, F.concat("_seen", F.array("_up.artifact_id"))).otherwise(F.col("_seen"))
-        out = out.withColumns({"root": moved, "_seen": seen}).drop("_id", "_up")
-    return out.drop("_seen")
-
-
-def hints(spans: DataFrame, artifacts: DataFrame, by: list[str], rounds: int = MAX_DEPTH) -> DataFrame:
-    """For each ``by`` the sorted distinct places (source name, artifact, start, end, line, column) of its spans."""
-    at = root_spans(spans, artifacts, rounds).select(*by, "root").distinct()
-    texts = artifacts.select(F.col("artifact_id").alias("_id"), "source_name", "text").dropDuplicates(["_id"])
-    at = at.join(texts, F.col("root.artifact_id") == F.col("_id"))
-    start = F.col("root.start")
-    hint = F.struct(
-        "source_name", F.col("root.artifact_id").alias("artifact_id"), start.alias("start"), F.col("root.end").alias("end"),
-        ids.line_of(F.col("text"), start).alias("line"), ids.column_of(F.col("text"), start).alias("column"),
-    )
+    at = root_spans(spans, artifacts).select(*by, "root").distinct()
+    starts = at.groupBy(F.col("root.artifact_id").alias("_id")).agg(F.collect_set("root.start").alias("_starts"))
+    texts = artifacts.select(F.col("artifact_id").alias("_id"), "source_name", "text").dropDuplicates(["_id"]).join(starts, "_id")
+    place = F.transform("_starts", lambda s: F.struct(s.alias("start"), ids.line_of(F.col("text"), s).alias("line"), ids.column_of(F.col("text"), s).alias("column")))
+    places = texts.select("_id", "source_name", F.explode(place).alias("_p"))
+    at = at.join(places, [F.col("root.artifact_id") == F.col("_id"), F.col("root.start") == F.col("_p.start")])
+    hint = F.struct("source_name", F.col("root.artifact_id").alias("artifact_id"), F.col("root.start").alias("start"), F.col("root.end").alias("end"), F.col("_p.line").alias("line"), F.col("_p.column").alias("column"))
     return at.select(*by, hint.alias("hint")).groupBy(*by).agg(F.array_sort(F.collect_set("hint")).alias("hints"))
 
 
-def hunt(rule: Rule, facts: Facts, accepted: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
+def hunt(rule: Rule, facts: Facts, accepted: DataFrame) -> DataFrame:
     """One row for each accepted fragment (key) whose evidence its sources support: status and hints."""
     usable = accepted.select(*KEY).join(unsupported(facts), KEY, "left_anti")
     result = materialized(evaluate(rule, facts, usable))
     spans = result.filter("status = 'HIT'").select(*KEY, F.explode("evidence").alias("r")).select(*KEY, F.explode("r.spans").alias("span"))
-    places = hints(spans, facts.artifacts, KEY, rounds)
+    places = hints(spans, facts.artifacts, KEY)
     none = F.array().cast("array<struct<source_name:string,artifact_id:string,start:int,end:int,line:int,column:int>>")
     return result.join(places, KEY, "left").withColumn("hints", F.coalesce("hints", none))
 
 
-def hunt_all(rules: list[Rule], facts: Facts, accepted: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
-    return reduce(DataFrame.unionByName, [hunt(r, facts, accepted, rounds) for r in rules])
+def hunt_all(rules: list[Rule], facts: Facts, accepted: DataFrame) -> DataFrame:
+    """The results of several rules, one below the other; the facts are written once for all of them."""
+    settled = facts.settled()
+    return reduce(DataFrame.unionByName, [hunt(r, settled, accepted) for r in rules])

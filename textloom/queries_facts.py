@@ -244,7 +244,7 @@ def hunt_status(spark, sf_dir):
     """Texts end at 5020, so no evidence lies beyond them and every hit maps to its customer's text."""
     facts = order_facts(spark, sf_dir).settled()
     facts = replace(facts, artifacts=_artifacts(spark, sf_dir, facts))
-    found = hunt.hunt(rules.read_rule_text(SEND_RULE), facts, facts.keys(), rounds=2)
+    found = hunt.hunt(rules.read_rule_text(SEND_RULE), facts, facts.keys())
     one = F.transform("hints", lambda h: F.concat_ws(":", h["source_name"], h["start"].cast("string"), h["line"].cast("string"), h["column"].cast("string")))
     return found.select("artifact_id", "status", F.array_join(one, ",").alias("hints"))
 
@@ -259,7 +259,7 @@ def hint_root_map(spark, sf_dir):
     facts = order_facts(spark, sf_dir).settled()
     artifacts = _artifacts(spark, sf_dir, facts)
     spans = facts.operations.select(*KEY, F.explode("evidence").alias("span"))
-    found = hunt.root_spans(spans, artifacts, 2)
+    found = hunt.root_spans(spans, artifacts)
     return found.groupBy(F.col("root.artifact_id").alias("root_id"), F.col("root.start").alias("start")).agg(F.count("*").alias("n"))
 
 
@@ -477,8 +477,8 @@ ORACLES = {
     "family_regressions": FAMILY,
     "rule_status": f"{W}, {SEND_FIRST}, {SEQUENCE_HITS}, x AS (SELECT 'order-sent-outside' AS rule_id, artifact_id IN (SELECT artifact_id FROM hits) AS hit FROM o UNION ALL SELECT 'read-then-send', artifact_id IN (SELECT artifact_id FROM sh) FROM o) SELECT rule_id, CASE WHEN hit THEN 'HIT' ELSE 'NO_HIT' END AS status, count(*) AS n FROM x GROUP BY ALL",
     "dup_ids": f"{W} SELECT artifact_id, 'order' AS id, 'duplicate_semantic_id' AS code FROM ops WHERE id = 'op.4'",
-    "dangling_refs": f"{W} SELECT artifact_id, CASE WHEN id = 'op.4' THEN 'order' ELSE id END AS owner, 'ghost' AS reference, 'Operation ''' || CASE WHEN id = 'op.4' THEN 'order' ELSE id END || ''' references undeclared entity ''ghost''.' AS message FROM ops WHERE conditional",
-    "evidence_bounds": f"{W} SELECT artifact_id, 'Evidence span exceeds the exact source text boundary.' AS message, count(*) AS n FROM ops WHERE s + 1 > 5002 GROUP BY ALL",
+    "dangling_refs": f"{W} SELECT artifact_id, CASE WHEN id = 'op.4' THEN 'order' ELSE id END AS owner, 'ghost' AS reference, 'operation ''' || CASE WHEN id = 'op.4' THEN 'order' ELSE id END || ''' mentions ''ghost'', which is no declared entity' AS message FROM ops WHERE conditional",
+    "evidence_bounds": f"{W} SELECT artifact_id, 'evidence ends beyond the text that it names' AS message, count(*) AS n FROM ops WHERE s + 1 > 5002 GROUP BY ALL",
     "entity_conflicts": f"WITH {NATIONS} SELECT artifact_id, 'USER_DATA' AS type, value, min(s) AS start FROM n WHERE value IS NOT NULL GROUP BY ALL HAVING count(DISTINCT trust) > 1",
     "canon_entities": f"WITH {NATIONS} SELECT artifact_id, cid AS id, value, array_to_string(list_sort(list(DISTINCT s)), ',') AS evidence FROM m GROUP BY ALL",
     "canon_ids": f"WITH {NATIONS} SELECT artifact_id, id AS source_id, cid AS canonical_id FROM m",

@@ -137,9 +137,8 @@ def domain_suppression(spark, sf_dir):
     """Bare domains of pages with and without the test whether a url or file name holds them."""
     pages = _docs(spark, sf_dir, "pages", "page_id", "html").select(F.col("artifact_id").cast("string").alias("artifact_id"), "text")
     found = pages.select("artifact_id", annotate.annotations(F.col("text"), ("domain", "url", "explicit_file_reference")).alias("a"))
-    wide = F.filter("a", lambda o: o["kind"].isin("url", "explicit_file_reference"))
-    rows = found.select("artifact_id", wide.alias("wide"), F.explode(F.filter("a", lambda o: o["kind"] == "domain")).alias("d"))
-    return rows.groupBy(indicators.contained(F.col("d"), F.col("wide")).alias("suppressed")).agg(F.count("*").alias("n"))
+    rows = found.select(F.explode(indicators.covered(F.col("a"))).alias("m")).filter("m.it.kind = 'domain'")
+    return rows.groupBy(F.col("m.inside").alias("suppressed")).agg(F.count("*").alias("n"))
 
 
 DOMAIN_PAGES = _run_sql(*DOMAIN, "pages", "page_id", "html")
