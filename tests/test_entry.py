@@ -11,8 +11,6 @@ import __spark_entry__ as entry
 from textloom import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-#: Queries of several recursive steps run in ``bench.py`` and in the driver's comparison.
-SLOW = {"path_exists", "first_path", "all_paths", "derivation_path", "op_sequence", "rule_paths", "rule_sequence", "hunt_status", "family_regressions", "rule_status", "uses_role", "rule_first_match"}
 
 
 def plain(df: pd.DataFrame) -> list[tuple]:
@@ -25,7 +23,7 @@ def test_registry():
     assert set(oracles) <= set(queries) and catalog.FLAGSHIP in queries
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):

@@ -15,8 +15,9 @@ from textloom.functions import ids
 from textloom.operators import canonical, compose, graph, validate
 from textloom.operators.graph import KEY, Facts
 from textloom.operators.indicators import entities as static_entities
-from textloom.plans import evaluate, hunt, reports, rules
+from textloom.plans import evaluate, hunt, lift, reports, rules
 from textloom.plans.sample_facts import SQL, order_facts, table
+from textloom.queries_scan import STATIC_SQL
 
 W = f"WITH RECURSIVE {SQL}"
 
@@ -430,6 +431,111 @@ def merge_static(spark, sf_dir):
     return compose.merge_static(known, named.drop("ordinal"), keys).select("artifact_id", "id", "trust", "confidence", F.size("evidence").alias("n_evidence"))
 
 
+CANON = (
+    "slugged AS (SELECT *, substr(trim(regexp_replace(lower(value), '[^a-z0-9]+', '_', 'g'), '_'), 1, 48) AS slug FROM ent), "
+    "cent AS (SELECT artifact_id, id, 'entity.' || lower(type) || '.' || slug || '.' || substr(sha256('{\"artifact_id\":\"' || artifact_id || '\",\"type\":\"' || type || '\",\"value\":\"' || value || '\"}'), 1, 12) AS cid FROM slugged)"
+)
+CANON_RELATIONSHIPS_SQL = (
+    f"{W}, {CANON}, m AS (SELECT r.artifact_id, a.cid AS source, r.relation, b.cid AS target FROM rel r JOIN cent a ON a.artifact_id = r.artifact_id AND a.id = r.source JOIN cent b ON b.artifact_id = r.artifact_id AND b.id = r.target) "
+    "SELECT artifact_id, 'relationship.' || lower(relation) || '.' || substr(sha256('{\"artifact_id\":\"' || artifact_id || '\",\"confidence\":0.8,\"relation\":\"' || relation || '\",\"source\":\"' || source || '\",\"target\":\"' || target || '\",\"underspecified\":false}'), 1, 12) AS id, source, relation, target FROM m"
+)
+
+
+STATIC_CANON = (
+    f"x AS (SELECT * FROM ({STATIC_SQL})), d AS (SELECT sha256(text) AS artifact_id, min(doc_id) AS doc_id FROM documents GROUP BY 1), "
+    "v AS (SELECT artifact_id, value, min(trust) AS seen, count(DISTINCT (start, \"end\")) AS n_evidence FROM x JOIN d USING (doc_id) GROUP BY ALL), "
+    "m AS (SELECT *, 'entity.network_destination.' || substr(trim(regexp_replace(lower(value), '[^a-z0-9]+', '_', 'g'), '_'), 1, 48) || '.' || substr(sha256('{\"artifact_id\":\"' || artifact_id || '\",\"type\":\"NETWORK_DESTINATION\",\"value\":\"' || value || '\"}'), 1, 12) AS id FROM v)"
+)
+
+
+def enrich_static(spark, sf_dir):
+    """Documents read as holding nothing: what static enrichment adds to each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(ids.content_id(F.col("text")).alias("artifact_id"), "text").dropDuplicates(["artifact_id"])
+    none = order_facts(spark, sf_dir)
+    facts = Facts(none.entities.limit(0), none.operations.limit(0), none.relationships.limit(0), docs)
+    found = compose.enriched(facts, docs.select("artifact_id", F.lit(0).alias("ordinal"))).entities
+    return found.select("artifact_id", "id", "value", F.size("evidence").alias("n_evidence"))
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as artifacts of their customer's source, each with the largest order of that customer beside it."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    sha = lambda *c: F.sha2(F.concat(*c).cast("binary"), 256)
+    top = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("top"))
+    rows = orders.join(top, "o_custkey")
+    return rows.select(
+        "o_orderkey", sha(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("artifact_id"), sha(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("root_id"),
+        sha(F.lit("order:"), F.col("top").cast("string")).alias("beside"), F.lit("ten chars.").alias("text"),
+    )
+
+
+def attempt_states(spark, sf_dir):
+    """Readings that end in every way: the state of each, its codes, and where the first is shown."""
+    rows = _letters(spark, sf_dir)
+    kind = F.col("o_orderkey") % 8
+
+    def entity(name: str, artifact, start: str, end: str, trust: str = "TRUSTED"):
+        return F.concat(F.lit(f'{{"id":"{name}","type":"TOOL","value":"v","sensitivity":"NONE","trust":"{trust}","evidence":[{{"artifact_id":"'), artifact, F.lit(f'","start":{start},"end":{end}}}],"confidence":1,"underspecified":false}}'))
+
+    own, beside = F.col("artifact_id"), F.col("beside")
+    wrap = lambda e, more="": F.concat(F.lit('{"schema_version":"1.0","entities":['), e, F.lit("]" + more + "}"))
+    ghost = F.concat(F.lit(',"relationships":[{"source":"e","relation":"TARGETS","target":"ghost","evidence":[{"artifact_id":"'), own, F.lit('","start":3,"end":4}],"confidence":1,"underspecified":false}]'))
+    good = entity("e", own, "0", "2")
+    payload = (
+        F.when(kind == 1, wrap(entity("e", own, "0", "99")))
+        .when(kind == 2, wrap(F.concat(good, F.lit(","), entity("e", own, "5", "6"))))
+        .when(kind == 3, F.concat(F.lit('{"schema_version":"1.0","entities":['), good, F.lit("]"), ghost, F.lit("}")))
+        .when(kind == 4, wrap(entity("e", beside, "1", "2")))
+        .when(kind == 5, wrap(F.concat(good, F.lit(","), entity("f", own, "7", "8", "UNTRUSTED"))))
+        .when(kind == 6, F.lit("not json"))
+        .when(kind == 7, F.lit(None).cast("string"))
+        .otherwise(wrap(good))
+    )
+    attempts = rows.select("artifact_id", F.lit(0).alias("ordinal"), F.when(kind == 7, "refused").otherwise("fragment").alias("outcome"), payload.alias("payload"))
+    states, _, _ = lift.facts_of(rows.select("root_id", "artifact_id", "text"), attempts)
+    first = F.get("diagnostics", F.lit(0))
+    return states.select("artifact_id", "stage", F.array_join(F.transform("diagnostics", lambda d: d["code"]), ",").alias("codes"), F.coalesce(first["span"]["start"], F.lit(-1)).alias("start"))
+
+
+STATES_SQL = (
+    "WITH l AS (SELECT o_orderkey % 8 AS k, sha256('order:' || o_orderkey) AS artifact_id, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS top FROM orders) "
+    "SELECT artifact_id, CASE WHEN k IN (1, 2, 3, 6) THEN 'validation_rejected' WHEN k = 7 THEN 'lifecycle_rejected' WHEN k = 5 OR k = 4 AND NOT top THEN 'canonicalization_rejected' ELSE 'accepted' END AS stage, "
+    "CASE k WHEN 1 THEN 'invalid_evidence_span' WHEN 2 THEN 'duplicate_semantic_id' WHEN 3 THEN 'dangling_semantic_reference' WHEN 4 THEN CASE WHEN top THEN '' ELSE 'cross_artifact_evidence' END WHEN 5 THEN 'entity_reconciliation_conflict' WHEN 6 THEN 'invalid_ir_shape' WHEN 7 THEN 'refused' ELSE '' END AS codes, "
+    "(CASE k WHEN 1 THEN 0 WHEN 2 THEN 5 WHEN 3 THEN 3 WHEN 4 THEN CASE WHEN top THEN -1 ELSE 1 END WHEN 5 THEN 0 WHEN 6 THEN 0 ELSE -1 END)::INT AS start FROM l"
+)
+
+
+def resolved_links(spark, sf_dir):
+    """Customers whose text holds a token that was decoded to a host: which tokens are linked to what their child says."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    sha = lambda word: F.sha2(F.concat(F.lit(word), F.col("k").cast("string")).cast("binary"), 256)
+    token, host = F.concat(F.lit("token-"), "k"), F.concat(F.lit("host"), "k", F.lit(".example.com"))
+    span = lambda artifact, start, end: F.struct(artifact.alias("artifact_id"), F.lit(start).cast("int").alias("start"), end.cast("int").alias("end"))
+    at = span(sha("up:"), 4, F.length(token) + 4)
+    made = F.struct(sha("up:").alias("parent_artifact_id"), at.alias("parent_span"), F.lit("hex").alias("codec"))
+    up = c.select(sha("up:").alias("artifact_id"), F.concat(F.lit("see "), token, F.lit(" here")).alias("text"))
+    down = c.select(sha("down:").alias("artifact_id"), host.alias("text"), made.alias("decode_provenance"))
+    artifacts = up.unionByName(down, allowMissingColumns=True)
+
+    def entity(df, artifact, name, kind, value, evidence, confidence):
+        return df.select(artifact.alias("artifact_id"), F.lit(0).alias("ordinal"), F.lit(name).alias("id"), kind.alias("type"), F.lit(None).cast("string").alias("subtype"), value.alias("value"), F.lit("UNKNOWN").alias("sensitivity"), F.lit("UNKNOWN").alias("trust"), F.array(evidence).alias("evidence"), F.lit(confidence).alias("confidence"), F.lit(False).alias("underspecified"))
+
+    net = F.lit("NETWORK_DESTINATION")
+    raw = entity(c, sha("up:"), "raw", F.when(F.col("k") % 2 == 0, "ENCODED_DATA").otherwise(net), token, at, 0.9)
+    whole = entity(c, sha("down:"), "host", net, host, span(sha("down:"), 0, F.when(F.col("k") % 3 == 0, 4).otherwise(F.length(host))), 0.4)
+    second = entity(c.filter("k % 5 = 0"), sha("down:"), "second", net, F.lit("second"), span(sha("down:"), 1, F.lit(3)), 0.4)
+    none = order_facts(spark, sf_dir)
+    facts = Facts(raw.union(whole).union(second), none.operations.limit(0), none.relationships.limit(0), artifacts)
+    found = compose.resolved(facts, facts.keys())
+    return found.relationships.select("artifact_id", "id", "source", "target", "confidence")
+
+
+LINKS_SQL = (
+    "SELECT sha256('up:' || c_custkey) AS artifact_id, 'relationship.decodes_to.' || substr(sha256('raw' || chr(0) || 'host'), 1, 16) AS id, 'raw' AS source, 'host' AS target, 0.4::DOUBLE AS confidence "
+    "FROM customer WHERE CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3 <> 0 ELSE c_custkey % 5 <> 0 END"
+)
+
+
 def parse_readings(spark, sf_dir):
     """Readings as JSON, some of them broken: how many are rejected, and why."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
@@ -447,7 +553,7 @@ QUERIES = {
     for f in (
         direct_rel, entity_filter, value_pattern, modality_filter, trust_boundary, path_exists, first_path, all_paths, derivation_path, distance_k, op_sequence, graph_elements,
         rule_first_match, any_selector, uses_decodes_to, uses_role, decoded_from, rule_paths, rule_sequence, hunt_status, hunt_unsupported, hint_root_map, family_regressions, rule_status,
-        dup_ids, dangling_refs, evidence_bounds, entity_conflicts, canon_entities, canon_ids, id_remap, evidence_union, canon_relationships, canon_operations, merge_static, parse_readings,
+        dup_ids, dangling_refs, evidence_bounds, entity_conflicts, canon_entities, canon_ids, id_remap, evidence_union, canon_relationships, canon_operations, merge_static, enrich_static, attempt_states, resolved_links, parse_readings,
     )
 }
 
@@ -484,5 +590,11 @@ ORACLES = {
     "canon_ids": f"WITH {NATIONS} SELECT artifact_id, id AS source_id, cid AS canonical_id FROM m",
     "id_remap": f"WITH {NATIONS} SELECT artifact_id, id, cid || ',' || cid AS refs, cid AS actor FROM m",
     "evidence_union": f"{W}, x AS (SELECT artifact_id, s::INT AS s FROM ent UNION SELECT artifact_id, s::INT FROM ops UNION SELECT artifact_id, 9 FROM rel) SELECT artifact_id, array_to_string(list_sort(list(s)), ',') AS starts FROM x GROUP BY ALL",
+    "canon_relationships": CANON_RELATIONSHIPS_SQL,
+    "canon_operations": f"{W} SELECT op, count(*) AS n, count(DISTINCT artifact_id) AS fragments FROM ops GROUP BY op",
+    "merge_static": f"WITH {STATIC_CANON} SELECT artifact_id, id, seen AS trust, CASE WHEN right(id, 1) < '8' THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence, n_evidence::INT AS n_evidence FROM m",
+    "enrich_static": f"WITH {STATIC_CANON} SELECT artifact_id, id, value, n_evidence::INT AS n_evidence FROM m",
+    "attempt_states": STATES_SQL,
+    "resolved_links": LINKS_SQL,
     "parse_readings": "SELECT CASE o_orderkey % 5 WHEN 1 THEN 'invalid_evidence_span' WHEN 0 THEN 'invalid_ir_shape' WHEN 2 THEN 'invalid_ir_shape' ELSE 'accepted' END AS code, count(*) AS n, count(CASE WHEN o_orderkey % 5 > 2 THEN 1 END) AS fragments FROM orders GROUP BY 1",
 }

@@ -65,11 +65,87 @@ ENTROPY_SQL = (
 )
 
 
+URL = (r"(?i)https?://[^\s<>\"''`()\[\]{}]+", "run", "TRUE")
+# The character before a path stands for the look-behind; it is no part of the path, and no path of a page begins the text.
+PATHS = r"[^A-Za-z0-9_:/](?:~[\\/]|[A-Za-z]:\\|\.{1,2}/|/)[^\s<>\"''`()\[\]{}]+"
+PATH_SQL = f"WITH {_runs(PATHS, 'pages', 'page_id', 'html')} SELECT page_id, (s + 1)::INT AS start, (s + length(run))::INT AS \"end\", substr(run, 2) AS value FROM r"
+
+
+def _crafted(spark, sf_dir):
+    """A text for each customer with what the other tables lack: variables, fences, commands, percent codes, file names."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey").cast("string")
+    code = F.regexp_replace(F.hex(F.concat(F.lit("é hidden "), k).cast("binary")), "(..)", "%$1")
+    text = F.concat(
+        F.lit("Set $KEY_"), k, F.lit(" and ${HOME"), k, F.lit("} now.\n```sh\ncurl x"), k, F.lit("\n```\n\n  $ git pull "), "c_name", F.lit("\nInclude: notes_"), k, F.lit("\nopen conf-"), k, F.lit(".yaml ok "), code, F.lit(" end")
+    )
+    return c.select(F.col("c_custkey").alias("artifact_id"), text.alias("text"))
+
+
+CRAFTED = (
+    "crafted AS (SELECT c_custkey, 'Set $KEY_' || c_custkey || ' and ${HOME' || c_custkey || '} now.' || chr(10) || '```sh' || chr(10) || 'curl x' || c_custkey || chr(10) || '```' || chr(10) || chr(10) || '  $ git pull ' || c_name || chr(10) "
+    "|| 'Include: notes_' || c_custkey || chr(10) || 'open conf-' || c_custkey || '.yaml ok ' || regexp_replace(hex(encode('é hidden ' || c_custkey)), '(..)', '%\\1', 'g') || ' end' AS text FROM customer)"
+)
+
+
+def ann_crafted(spark, sf_dir):
+    kinds = ("environment_variable", "code_fence", "shell_command", "url_encoded_candidate", "explicit_file_reference")
+    found = annotate.annotate(_crafted(spark, sf_dir), kinds=kinds)
+    return found.select(F.col("artifact_id").alias("c_custkey"), "kind", "start", "end", "value", F.array_join("normalized_values", ",").alias("said"))
+
+
+def _crafted_sql(kind: str, cls: str, value: str = "run", skip: str = "0", said: str = "''") -> str:
+    return f"SELECT c_custkey, '{kind}' AS kind, (s + {skip})::INT AS start, (s + length(run))::INT AS \"end\", {value} AS value, {said} AS said FROM (WITH {_runs(cls, 'crafted', 'c_custkey')} SELECT * FROM r)"
+
+
+CRAFTED_SQL = f"WITH {CRAFTED} " + " UNION ALL ".join(
+    (
+        _crafted_sql("environment_variable", r"\$(?:\{[A-Za-z_][A-Za-z0-9_]*\}|[A-Za-z_][A-Za-z0-9_]*)", said="regexp_replace(run, '[${}]', '', 'g')"),
+        _crafted_sql("code_fence", r"(?s)```[^\r\n]*\r?\n.*?```"),
+        # Every command begins after a line end, and its span with the white space from the next line on.
+        _crafted_sql("shell_command", r"\n\s*(?:\$\s*)?(?:curl|git)\b[^\r\n]*", "substr(run, 2)", "1"),
+        _crafted_sql("url_encoded_candidate", r"(?:%[0-9A-Fa-f]{2}){4,}"),
+        _crafted_sql("explicit_file_reference", r"Include: [^\s#]+", "substr(run, 10)", "9", "substr(run, 10)"),
+        _crafted_sql("explicit_file_reference", r"conf-[0-9]+\.yaml"),
+    )
+)
+
+
+def decode_percent(spark, sf_dir):
+    found = decode.children(decode.expand(_crafted(spark, sf_dir), sound=True)).filter("decode_provenance.codec = 'url'")
+    return found.select(F.col("root_id").alias("c_custkey"), F.col("decode_provenance.parent_span.start").alias("start"), "text")
+
+
+PERCENT_SQL = f"WITH {CRAFTED}, v AS ({_crafted_sql('x', '(?:%[0-9A-Fa-f]{2}){4,}')}) SELECT c_custkey, start, 'é hidden ' || c_custkey AS text FROM v"
+
+
 def ann_kind_counts(spark, sf_dir):
     """All thirteen annotators over the raw pages."""
     return annotate.annotate(_docs(spark, sf_dir, "pages", "page_id", "html")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def _counted(kind: str, sql: str) -> str:
+    return f"SELECT '{kind}' AS kind, n FROM (SELECT count(*) AS n FROM ({sql})) WHERE n > 0"
+
+
+def _plain(cls: str) -> str:
+    return _run_sql(cls, "run", "TRUE", "pages", "page_id", "html")
+
+
+_PAGES = ("pages", "page_id", "html")
+_FILE_NAME = "[A-Za-z0-9][A-Za-z0-9_.-]{0,127}[.](?:md|txt|json|yaml|yml|toml|ini|cfg|conf|lock|lockb|py|js|ts|tsx|jsx|sh|ps1)"
+KIND_COUNTS_SQL = " UNION ALL ".join(
+    _counted(kind, sql)
+    for kind, sql in (
+        ("url", _run_sql(*URL, *_PAGES)), ("domain", _run_sql(*DOMAIN, *_PAGES)), ("ip_address", _run_sql(*IP, *_PAGES)), ("filesystem_path", PATH_SQL), ("base64_candidate", _run_sql(*BASE64, *_PAGES)), ("hex_candidate", _run_sql(*HEX, *_PAGES)),
+        ("environment_variable", _plain(r"\$(?:\{[A-Za-z_][A-Za-z0-9_]*\}|[A-Za-z_][A-Za-z0-9_]*)")), ("code_fence", _plain(r"(?s)```[^\r\n]*\r?\n.*?```")),
+        ("shell_command", _plain(r"(?m)^\s*(?:[$#]\s*)?(?:curl|wget|python3?|node|bash|sh|zsh|pwsh|powershell|rm|cp|mv|cat|grep|sed|awk|chmod|chown|git)\b[^\r\n]*")), ("url_encoded_candidate", _plain("(?:%[0-9A-Fa-f]{2}){4,}")),
+        ("high_entropy_candidate", f"WITH {_runs('[A-Za-z0-9+/=_-]{32,}', *_PAGES)}, c AS (SELECT page_id, s, run, unnest(string_split(run, '')) AS ch FROM r), n AS (SELECT page_id, s, run, ch, count(*) / length(run) AS p FROM c GROUP BY page_id, s, run, ch) SELECT page_id, s FROM n GROUP BY page_id, s HAVING -sum(p * log2(p)) >= 3.5 - 1e-9"),
+        ("explicit_file_reference", f"SELECT * FROM ({_plain(r'(?i)\b(?:include|file|path|reference)[ \t]*:[ \t]*[^\s#]+')}) UNION ALL SELECT * FROM ({_run_sql('[A-Za-z0-9_.-]+', 'run', f"regexp_matches(run, '(?i){_FILE_NAME}($|[.]+$)')", *_PAGES)})"),
+    )
+)
+
+
 def line_col(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     found = docs.select("artifact_id", "text", F.explode(annotate.annotations(F.col("text"), ("ip_address",))).alias("a"))
@@ -98,17 +174,6 @@ def decode_depth_one(spark, sf_dir):
     return found.select(F.col("root_id").cast("long").alias("doc_id"), span["start"].alias("start"), span["end"].alias("end"), F.col("decode_provenance.codec").alias("codec"), "text")
 
 
-DECODE_ONE_SQL = (
-    f"WITH {_runs(BASE64[0])}, h AS (SELECT doc_id, s, run FROM r WHERE regexp_full_match(run, '[A-Za-z0-9+/]{{8,}}={{0,2}}')), "
-    "d1 AS (SELECT doc_id, regexp_extract_all(text, '[A-Fa-f0-9]+') AS m, string_split_regex(text, '[A-Fa-f0-9]+') AS g FROM documents), "
-    "u1 AS (SELECT doc_id, unnest(m) AS run, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM d1), "
-    "r1 AS (SELECT doc_id, run, sum(length(gap) + length(run)) OVER (PARTITION BY doc_id ORDER BY i) - length(run) AS s FROM u1), "
-    "x AS (SELECT doc_id, s, run FROM r1 WHERE length(run) >= 8 AND length(run) % 2 = 0), "
-    "c AS (SELECT doc_id, s, run, 'hex' AS codec, try(unhex(run)) AS b FROM x UNION ALL SELECT doc_id, s, run, 'base64', CASE WHEN length(run) % 4 = 0 THEN try(from_base64(run)) END FROM h ANTI JOIN x USING (doc_id, s, run)) "
-    "SELECT doc_id, s::INT AS start, (s + length(run))::INT AS \"end\", codec, try(decode(b)) AS text FROM c WHERE length(run) <= 16384 AND try(decode(b)) IS NOT NULL AND try(decode(b)) <> ''"
-)
-
-
 def decode_diag_counts(spark, sf_dir):
     docs = _docs(spark, sf_dir).select(F.col("artifact_id").cast("string").alias("artifact_id"), "text")
     return decode.diagnostics(decode.expand(docs)).groupBy("code", "message").agg(F.count("*").alias("n"))
@@ -134,14 +199,52 @@ STATIC_SQL = (
 
 
 def domain_suppression(spark, sf_dir):
-    """Bare domains of pages with and without the test whether a url or file name holds them."""
-    pages = _docs(spark, sf_dir, "pages", "page_id", "html").select(F.col("artifact_id").cast("string").alias("artifact_id"), "text")
+    """Domains in pages that follow their urls: those that a url holds, and the others."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("artifact_id"), F.concat_ws(" ", "url", "html").alias("text"))
     found = pages.select("artifact_id", annotate.annotations(F.col("text"), ("domain", "url", "explicit_file_reference")).alias("a"))
     rows = found.select(F.explode(indicators.covered(F.col("a"))).alias("m")).filter("m.it.kind = 'domain'")
     return rows.groupBy(F.col("m.inside").alias("suppressed")).agg(F.count("*").alias("n"))
 
 
 DOMAIN_PAGES = _run_sql(*DOMAIN, "pages", "page_id", "html")
+SUPPRESSED_SQL = (
+    f"WITH t AS (SELECT page_id, url || ' ' || html AS text, length(url) AS n FROM pages), d AS (SELECT * FROM ({_run_sql(*DOMAIN, 't', 'page_id')})) "
+    "SELECT \"end\" <= n AS suppressed, count(*) AS n FROM d JOIN t USING (page_id) GROUP BY 1"
+)
+
+
+def _decoded(table: str, key: str, text: str) -> str:
+    """(key, s, e, codec, text) of candidates of a table that decode to a text, and (key, s, e, bytes) of those that decode at all."""
+    return (
+        f"WITH {_runs(BASE64[0], table, key, text)}, h AS (SELECT {key}, s, run FROM r WHERE regexp_full_match(run, '[A-Za-z0-9+/]{{8,}}={{0,2}}')), "
+        f"d1 AS (SELECT {key}, regexp_extract_all({text}, '[A-Fa-f0-9]+') AS m, string_split_regex({text}, '[A-Fa-f0-9]+') AS g FROM {table}), "
+        f"u1 AS (SELECT {key}, unnest(m) AS run, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM d1), "
+        f"r1 AS (SELECT {key}, run, sum(length(gap) + length(run)) OVER (PARTITION BY {key} ORDER BY i) - length(run) AS s FROM u1), "
+        f"x AS (SELECT {key}, s, run FROM r1 WHERE length(run) >= 8 AND length(run) % 2 = 0), "
+        f"c AS (SELECT {key}, s, run, 'hex' AS codec, try(unhex(run)) AS b FROM x UNION ALL SELECT {key}, s, run, 'base64', CASE WHEN length(run) % 4 = 0 THEN try(from_base64(run)) END FROM h ANTI JOIN x USING ({key}, s, run)) "
+        f"SELECT {key}, s, s + length(run) AS e, codec, length(run) AS size, b, try(decode(b)) AS text FROM c"
+    )
+
+
+# Of at most sixteen children none is over 12 KiB, so only their number can exhaust the budget.
+TREE = (
+    f"one AS (SELECT * FROM ({_decoded('documents', 'doc_id', 'text')})), good1 AS (SELECT *, doc_id || ':' || s || ':' || e AS k FROM one WHERE size <= 16384 AND text <> ''), "
+    f"two AS (SELECT * FROM ({_decoded('good1', 'k', 'text')})), good2 AS (SELECT *, k || ':' || s || ':' || e AS k2 FROM two WHERE size <= 16384 AND text <> ''), "
+    "kids AS (SELECT doc_id, 1 AS depth, codec, text, s, e, -1 AS s2, -1 AS e2, k FROM good1 UNION ALL SELECT p.doc_id, 2, c.codec, c.text, p.s, p.e, c.s, c.e, c.k2 FROM good2 c JOIN good1 p USING (k)), "
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, s2, e2) AS place FROM kids), taken AS (SELECT * FROM ranked WHERE place <= 16)"
+)
+CHILDREN_SQL = f"WITH {TREE} SELECT doc_id, depth, codec, sha256(text) AS text_id FROM taken"
+# A candidate met the budget as its place among the sound ones before it left it.
+DIAGNOSTICS_SQL = (
+    f"WITH {TREE}, three AS (SELECT * FROM ({_decoded('(SELECT k, text FROM taken WHERE depth = 2)', 'k', 'text')})), "
+    "every AS (SELECT doc_id, 1 AS depth, codec, size, b, text, s, e, -1 AS s2, -1 AS e2, -1 AS s3 FROM one "
+    "UNION ALL SELECT p.doc_id, 2, c.codec, c.size, c.b, c.text, p.s, p.e, c.s, c.e, -1 FROM two c JOIN taken p USING (k) WHERE p.depth = 1 "
+    "UNION ALL SELECT p.doc_id, 3, c.codec, c.size, c.b, c.text, p.s, p.e, p.s2, p.e2, c.s FROM three c JOIN taken p USING (k)), "
+    "seen AS (SELECT *, count(CASE WHEN depth < 3 AND size <= 16384 AND text <> '' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY s, e, s2, e2, s3 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM every), "
+    "told AS (SELECT CASE WHEN size > 16384 THEN 'decode_limit:encoded candidate exceeds the input byte limit' WHEN b IS NULL THEN 'decode_invalid:candidate is not valid encoded data' WHEN depth = 3 THEN 'decode_limit:decode depth limit reached' "
+    "WHEN before >= 16 THEN 'decode_limit:virtual child limit reached' WHEN text IS NULL THEN 'decode_non_text:decoded bytes are not strict UTF-8 text' WHEN text = '' THEN 'decode_invalid:decoded text is empty' END AS said FROM seen) "
+    "SELECT split_part(said, ':', 1) AS code, split_part(said, ':', 2) AS message, count(*) AS n FROM told WHERE said IS NOT NULL GROUP BY said"
+)
 
 
 def local_trust(spark, sf_dir):
@@ -177,7 +280,9 @@ QUERIES = {
     "ann_domain_pages": _annotated("domain", "pages", "page_id", "html"),
     "ann_base64_conversations": lambda s, d: annotate.annotate(s.read.parquet(f"{d}/conversations.parquet").select(F.concat_ws("-", "conv_id", "turn").alias("artifact_id"), "text"), kinds=("base64_candidate",)).groupBy("value").agg(F.count("*").alias("n")),
     "ann_path": _annotated("filesystem_path", "pages", "page_id", "html"),
-    "ann_url": _annotated("url", "pages", "page_id", "html"),
+    "ann_url": _annotated("url", "pages", "page_id", "url"),
+    "ann_crafted": ann_crafted,
+    "decode_percent": decode_percent,
     "ann_entropy": ann_entropy,
     "ann_kind_counts": ann_kind_counts,
     "line_col": line_col,
@@ -199,7 +304,15 @@ ORACLES = {
     "ann_base64_conversations": f"WITH c AS (SELECT conv_id || '-' || turn AS k, text FROM conversations), {_runs(BASE64[0], 'c', 'k')} SELECT run AS value, count(*) AS n FROM r WHERE {BASE64[2].replace('value', 'run')} GROUP BY run",
     "ann_entropy": ENTROPY_SQL,
     "line_col": LINE_COL_SQL,
-    "decode_depth_one": DECODE_ONE_SQL,
+    "decode_depth_one": f"SELECT doc_id, s::INT AS start, e::INT AS \"end\", codec, text FROM ({_decoded('documents', 'doc_id', 'text')}) WHERE size <= 16384 AND text <> ''",
+    "ann_url": _run_sql(*URL, "pages", "page_id", "url"),
+    "ann_path": PATH_SQL,
+    "ann_kind_counts": KIND_COUNTS_SQL,
+    "ann_crafted": CRAFTED_SQL,
+    "decode_percent": PERCENT_SQL,
+    "decode_children": CHILDREN_SQL,
+    "decode_diag_counts": DIAGNOSTICS_SQL,
+    "domain_suppression": SUPPRESSED_SQL,
     "static_entities": STATIC_SQL,
     "local_trust": LOCAL_TRUST_SQL,
 }
