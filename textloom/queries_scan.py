@@ -141,7 +141,7 @@ KIND_COUNTS_SQL = " UNION ALL ".join(
         ("environment_variable", _plain(r"\$(?:\{[A-Za-z_][A-Za-z0-9_]*\}|[A-Za-z_][A-Za-z0-9_]*)")), ("code_fence", _plain(r"(?s)```[^\r\n]*\r?\n.*?```")),
         ("shell_command", _plain(r"(?m)^\s*(?:[$#]\s*)?(?:curl|wget|python3?|node|bash|sh|zsh|pwsh|powershell|rm|cp|mv|cat|grep|sed|awk|chmod|chown|git)\b[^\r\n]*")), ("url_encoded_candidate", _plain("(?:%[0-9A-Fa-f]{2}){4,}")),
         ("high_entropy_candidate", f"WITH {_runs('[A-Za-z0-9+/=_-]{32,}', *_PAGES)}, c AS (SELECT page_id, s, run, unnest(string_split(run, '')) AS ch FROM r), n AS (SELECT page_id, s, run, ch, count(*) / length(run) AS p FROM c GROUP BY page_id, s, run, ch) SELECT page_id, s FROM n GROUP BY page_id, s HAVING -sum(p * log2(p)) >= 3.5 - 1e-9"),
-        ("explicit_file_reference", f"SELECT * FROM ({_plain(r'(?i)\b(?:include|file|path|reference)[ \t]*:[ \t]*[^\s#]+')}) UNION ALL SELECT * FROM ({_run_sql('[A-Za-z0-9_.-]+', 'run', f"regexp_matches(run, '(?i){_FILE_NAME}($|[.]+$)')", *_PAGES)})"),
+        ("explicit_file_reference", f"SELECT * FROM ({_plain(r'(?i)\b(?:include|file|path|reference)[ \t]*:[ \t]*[^\s#]+')}) UNION ALL SELECT * FROM ({_run_sql('[A-Za-z0-9_.-]+', 'run', f"regexp_matches(value, '(?i){_FILE_NAME}($|[.]+$)')", *_PAGES)})"),
     )
 )
 
