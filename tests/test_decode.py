@@ -63,22 +63,22 @@ def test_budgets_are_greedy(spark):
     assert [x.text[0] for x in run(spark, text, max_children=2, max_aggregate_bytes=64, max_child_bytes=64)[0]] == ["A", "B"]
     children, wrong = run(spark, text, max_child_bytes=20, max_aggregate_bytes=20)
     assert [x.text[0] for x in children] == ["A", "C"]
-    assert wrong == [("decode_limit", "base64 candidate can exceed the decoded byte limit")]
+    assert wrong == [("decode_limit", "base64 that may decode to too many bytes")]
     children, wrong = run(spark, text, max_child_bytes=30, max_aggregate_bytes=30)
     assert [x.text[0] for x in children] == ["A", "C"]
-    assert wrong == [("decode_limit", "aggregate decoded byte limit reached")]
+    assert wrong == [("decode_limit", "too many bytes in all children")]
 
 
 def test_what_is_below_a_rejected_child_vanishes(spark):
     nested = b64("zz " + b64("inner text here"))
     children, wrong = run(spark, f"{b64('A a a a a a')} {nested}", max_children=1)
-    assert len(children) == 1 and wrong == [("decode_limit", "virtual child limit reached")]
+    assert len(children) == 1 and wrong == [("decode_limit", "too many children")]
 
 
 def test_depth_limit(spark):
     text = b64("a " + b64("b " + b64("c " + b64("deep"))))
     children, wrong = run(spark, text)
-    assert [c.depth for c in children] == [1, 2] and ("decode_limit", "decode depth limit reached") in wrong
+    assert [c.depth for c in children] == [1, 2] and ("decode_limit", "nested too deeply") in wrong
 
 
 def test_nulls_and_bad_limits(spark):

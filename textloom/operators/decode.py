@@ -62,11 +62,11 @@ def candidates(text: Column, limits: DecodeLimits, sound: bool = False) -> Colum
         n = F.length(raw)
         size = F.when(codec == "base64", F.floor(n / 4) * 3).when(codec == "hex", F.floor(n / 2)).otherwise(0)
         why = (
-            F.when(n < limits.candidate_minimum_chars, say("decode_limit", "encoded candidate is shorter than the configured minimum"))
-            .when(n > limits.max_candidate_bytes, say("decode_limit", "encoded candidate exceeds the input byte limit"))
-            .when((codec == "base64") & (size > limits.max_child_bytes), say("decode_limit", "base64 candidate can exceed the decoded byte limit"))
-            .when((codec == "hex") & (size > limits.max_child_bytes), say("decode_limit", "hex candidate can exceed the decoded byte limit"))
-            .when((codec == "base64") & (n % 4 != 0), say("decode_invalid", "candidate is not valid encoded data"))
+            F.when(n < limits.candidate_minimum_chars, say("decode_limit", "too few characters to decode"))
+            .when(n > limits.max_candidate_bytes, say("decode_limit", "too many characters to decode"))
+            .when((codec == "base64") & (size > limits.max_child_bytes), say("decode_limit", "base64 that may decode to too many bytes"))
+            .when((codec == "hex") & (size > limits.max_child_bytes), say("decode_limit", "hex that may decode to too many bytes"))
+            .when((codec == "base64") & (n % 4 != 0), say("decode_invalid", "not sound base64"))
         )
         return F.struct(a["start"].alias("start"), a["end"].alias("end"), codec.alias("codec"), why.alias("why"), raw.alias("raw"))
 
@@ -75,7 +75,7 @@ def candidates(text: Column, limits: DecodeLimits, sound: bool = False) -> Colum
         data = F.when(a["why"].isNotNull(), F.lit(None).cast("binary")).when(a["codec"] == "base64", F.unbase64(raw)).otherwise(F.unhex(F.replace(raw, F.lit("%"), F.lit(""))))
 
         def checked(d: Column) -> Column:
-            big = F.when(F.octet_length(d) > limits.max_child_bytes, say("decode_limit", "decoded bytes exceed the child byte limit"))
+            big = F.when(F.octet_length(d) > limits.max_child_bytes, say("decode_limit", "decoded to too many bytes"))
             words = d.cast("string")
             inner = F.when(big.isNull() & F.is_valid_utf8(words), words)
             return F.struct(a["start"].alias("start"), a["end"].alias("end"), a["codec"].alias("codec"), F.coalesce(a["why"], big).alias("why"), F.octet_length(d).alias("n_bytes"), inner.alias("text"))
@@ -139,11 +139,11 @@ def _refusal(x: Column, children: Column, used: Column, limits: DecodeLimits) ->
 
     return (
         F.when(x["why"].isNotNull(), x["why"])
-        .when(F.size(x["path"]) > limits.max_depth, say("decode_limit", "decode depth limit reached"))
-        .when(children >= limits.max_children, say("decode_limit", "virtual child limit reached"))
-        .when(used + x["n_bytes"] > limits.max_aggregate_bytes, say("decode_limit", "aggregate decoded byte limit reached"))
-        .when(x["text"].isNull(), say("decode_non_text", "decoded bytes are not strict UTF-8 text"))
-        .when(x["text"] == "", say("decode_invalid", "decoded text is empty"))
+        .when(F.size(x["path"]) > limits.max_depth, say("decode_limit", "nested too deeply"))
+        .when(children >= limits.max_children, say("decode_limit", "too many children"))
+        .when(used + x["n_bytes"] > limits.max_aggregate_bytes, say("decode_limit", "too many bytes in all children"))
+        .when(x["text"].isNull(), say("decode_non_text", "decoded to no UTF-8 text"))
+        .when(x["text"] == "", say("decode_invalid", "decoded to nothing"))
     )
 
 

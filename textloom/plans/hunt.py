@@ -24,7 +24,7 @@ def unsupported(facts: Facts) -> DataFrame:
 
 
 def diagnostics(facts: Facts) -> DataFrame:
-    return unsupported(facts).select("artifact_id", "ordinal", F.lit("invalid_canonical_evidence").alias("code"), F.lit("Canonical evidence does not match its source text.").alias("message"))
+    return unsupported(facts).select("artifact_id", "ordinal", F.lit("invalid_canonical_evidence").alias("code"), F.lit("evidence that no text of the source supports").alias("message"))
 
 
 def root_of(artifacts: DataFrame) -> DataFrame:

@@ -241,8 +241,8 @@ DIAGNOSTICS_SQL = (
     "UNION ALL SELECT p.doc_id, 2, c.codec, c.size, c.b, c.text, p.s, p.e, c.s, c.e, -1 FROM two c JOIN taken p USING (k) WHERE p.depth = 1 "
     "UNION ALL SELECT p.doc_id, 3, c.codec, c.size, c.b, c.text, p.s, p.e, p.s2, p.e2, c.s FROM three c JOIN taken p USING (k)), "
     "seen AS (SELECT *, count(CASE WHEN depth < 3 AND size <= 16384 AND text <> '' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY s, e, s2, e2, s3 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM every), "
-    "told AS (SELECT CASE WHEN size > 16384 THEN 'decode_limit:encoded candidate exceeds the input byte limit' WHEN b IS NULL THEN 'decode_invalid:candidate is not valid encoded data' WHEN depth = 3 THEN 'decode_limit:decode depth limit reached' "
-    "WHEN before >= 16 THEN 'decode_limit:virtual child limit reached' WHEN text IS NULL THEN 'decode_non_text:decoded bytes are not strict UTF-8 text' WHEN text = '' THEN 'decode_invalid:decoded text is empty' END AS said FROM seen) "
+    "told AS (SELECT CASE WHEN size > 16384 THEN 'decode_limit:too many characters to decode' WHEN b IS NULL THEN 'decode_invalid:not sound base64' WHEN depth = 3 THEN 'decode_limit:nested too deeply' "
+    "WHEN before >= 16 THEN 'decode_limit:too many children' WHEN text IS NULL THEN 'decode_non_text:decoded to no UTF-8 text' WHEN text = '' THEN 'decode_invalid:decoded to nothing' END AS said FROM seen) "
     "SELECT split_part(said, ':', 1) AS code, split_part(said, ':', 2) AS message, count(*) AS n FROM told WHERE said IS NOT NULL GROUP BY said"
 )
 
