@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import components, embeddings, fingerprints, simhash
+from textloom.llm import components, embeddings, fingerprints, simhash, tiles
 from textloom.llm import shingles as near
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -56,8 +56,9 @@ def test_simhash(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, component_id string").repartition(5)
     want_fp = [slow_fingerprint(t) for t in texts]
     want = reach(len(texts), lambda i, j: (want_fp[i] ^ want_fp[j]).bit_count() <= 4)
-    for tile in (2048, 3):  # with three to a tile every large bucket is compared tile by tile
+    for tile, share in ((2048, 64), (3, 1)):  # with three to a tile every large bucket is compared tile by tile
         monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(tiles, "SHARE", share)
         got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
         assert [got[i].fp % (1 << 64) for i in range(len(texts))] == want_fp
         assert [got[i].component_id for i in range(len(texts))] == want
@@ -65,11 +66,42 @@ def test_simhash(spark, monkeypatch):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5, 6, 7, 8])
+def test_links_at_every_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 30)]
+    halves = lambda k: sum(1 << int(i) for i in rng.permutation(32)[: k // 2]) | sum(1 << int(i) for i in 32 + rng.permutation(32)[: k - k // 2])
+    fps = base + [b ^ halves(radius) for b in base[:12]] + [b ^ halves(radius + 1) for b in base[12:24]]  # the bits split evenly, the hardest case
+    df = spark.createDataFrame([(fp - (1 << 64) * (fp >> 63), i) for i, fp in enumerate(fps)], "fp long, rep long")
+    found = simhash.links(df, radius)
+    got = {r.node: r.component for r in components.components(found).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == reach(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= radius)
+
+
+def test_radius_bounds(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([], "fp long, rep long"), 10)
+
+
+def test_simhash_of_one_hot_block(spark, monkeypatch):
+    """Every fingerprint has the same lower half, so one variant holds them all."""
+    monkeypatch.setattr(simhash, "TILE", 64)
+    monkeypatch.setattr(tiles, "SHARE", 4)
+    fps = [int(x) << 32 | 77 for x in np.random.default_rng(5).integers(0, 1 << 31, 700)] + [1 << 40 | 77, 3 << 40 | 77]
+    df = spark.createDataFrame([(fp, i) for i, fp in enumerate(fps)], "fp long, rep long")
+    got = {r.node: r.component for r in components.components(simhash.links(df)).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == reach(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+
+
 def test_simhash_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (9, None), (8, "")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(df).collect())
     assert got == [(0, 7), (7, 7), (7, 7), (8, 8), (9, 8)]
     assert sorted(r.doc_id or 0 for r in simhash.one_of_each(df).collect()) == [0, 7, 8]
+    # One key with two texts, one of which is a copy of an earlier document: that one goes, and clashing columns stay.
+    rows = [(1, "a b c d e", "p"), (5, "a b c d e", "q"), (5, "quite another text here", "r"), (None, "x", "s"), (None, "x", "t")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _hash string"))
+    assert sorted(r._hash for r in kept.collect()) == ["p", "r", "s", "t"] and kept.columns == ["doc_id", "text", "_hash"]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -104,6 +136,13 @@ def test_vectors(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_under_one_key(spark):
+    """Different vectors of one key are one node: one component, and the links of both."""
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(1, x, 1), (1, y, 1), (2, [1.0, 0.01, 0.0], 1), (3, [0.0, 1.0, 0.01], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted(tuple(r)[:3] for r in embeddings.near_duplicates(df).collect()) == [(1, 2, 1), (1, 2, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def shingles(text):
     words = (text or "").lower().split()
     return set(zip(*(words[k:] for k in range(5)))) if len(words) >= 5 else {tuple(words)} if words else set()
@@ -126,6 +165,46 @@ def test_fingerprints(spark):
     assert got[40].near_next == 1.0 and got[50].near_next == 0.0
 
 
+def plain_minhash(text):
+    """One permutation, 128 bins, empty ones filled by hashed probes, eight bits kept; straight from the definition."""
+    spark_hash = lambda parts, h=42: __import__("functools").reduce(lambda h, p: xxhash.xxh64_intdigest(p, h), parts, h)
+    eight, four = (lambda v, n=n: v.to_bytes(n, "little") for n in (8, 4))
+    words = [xxhash.xxh64_intdigest(w, 42) for w in (text or "").lower().split()]
+    hashes = [spark_hash(map(eight, words[i : i + 5])) for i in range(len(words) - 4)] or ([spark_hash(map(eight, words))] if words else [])
+    signed = lambda h: h - (1 << 64) * (h >> 63)
+    bins = {}
+    for h in hashes:
+        bins[h >> 57] = min(bins.get(h >> 57, signed(h)), signed(h))
+    out = []
+    for i in range(128) if bins else ():
+        probes = [i] + [signed(spark_hash([four(i), four(k)])) % 128 for k in range(12)]
+        found = next((bins[p] for p in probes if p in bins), None)
+        if found is None:
+            found = bins[min((signed(spark_hash([four(i), four(b), b"last"])), b) for b in bins)[1]]
+        out.append(f"{found & 255:02x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_plain_minhash(spark):
+    texts = [prose(n) for n in (1, 4, 5, 6, 9, 30, 120, 900)] + [None, "", " \n", "One two", "a b c d e a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.compared(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].fingerprint == plain_minhash(t), i
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        assert got[i].edited_fingerprint == plain_minhash(t[: len(t) - len(t) // 4] + after[: len(t) // 4])
+        one, two = got[i].fingerprint, plain_minhash(after)
+        same = sum(one[k : k + 2] == two[k : k + 2] for k in range(0, 256, 2)) / 128
+        assert got[i].near_next == pytest.approx(max(0, (same - 1 / 256) / (1 - 1 / 256)) if one and two else float(one == two))
+
+
+def test_next_of_large_keys(spark):
+    """Keys beyond what a double holds exactly."""
+    keys = [(1 << 62) + 3 * i for i in range(400)]
+    df = spark.createDataFrame([(k, str(i)) for i, k in enumerate(keys)], "doc_id long, text string").repartition(4)
+    assert all(int(r._next.text) == (int(r.text) + 1) % 400 for r in fingerprints.with_next(df, "doc_id", "text", ["text"], 16).collect())
+
+
 def test_next_of_repeated_null_and_single_keys(spark):
     df = spark.createDataFrame([(None, "n"), (5, "b"), (5, "a"), (9, "z"), (9, "z")], "doc_id long, text string")
     rows = fingerprints.with_next(df, "doc_id", "text", ["text"], 8).collect()
@@ -149,9 +228,10 @@ def test_stage_finds_all_near_copies(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string").repartition(5)
     sets = [shingles(t) for t in texts]
     want = sorted(set(reach(len(texts), lambda i, j: alike(sets[i], sets[j]))))
-    for tile, few, often in ((2048, 32, 3), (3, 2, 10**9), (2048, 4, 10**9)):  # small tiles, and an order without counts
+    for tile, few, often, share in ((1024, 32, 3, 64), (8, 2, 10**9, 1), (1024, 4, 10**9, 64)):  # small tiles, and an order without counts
         for name, value in (("TILE", tile), ("FEW", few), ("OFTEN", often)):
             monkeypatch.setattr(near, name, value)
+        monkeypatch.setattr(tiles, "SHARE", share)
         kept = corpus_pipeline.one_of_each(spark, df, "")
         assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == want
 
@@ -172,6 +252,8 @@ def test_stage_edges(spark):
     got = near.one_of_each(df).collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 3, 5, 7, 8] and (5, other) not in [tuple(r) for r in got]
     assert near.one_of_each(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(None, text, "a"), (None, text, "b")], "doc_id long, text string, _stays string")
+    assert sorted(r._stays for r in near.one_of_each(twice).collect()) == ["a", "b"]
 
 
 def test_sketches_rule_no_pair_out():

@@ -13,6 +13,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from weakref import WeakSet
 
 import ahocorasick
 import numpy as np
@@ -216,14 +217,34 @@ class WordSplitter:
 class BoundedCache(dict):
     """Values made by ``make`` on a miss; two generations, so that frequent keys stay and memory is bounded.
 
-    Keys longer than ``longest`` are rare and their values long, so these are not kept.
+    Keys longer than ``longest`` are rare and their values long, so these are not kept.  A
+    worker serves one operator after another: ``forget`` empties the caches of all others.
     """
 
+    every: WeakSet = WeakSet()
+    working: str = ""
+
     def __init__(self, make, most: int = 120_000, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest, self.old = make, most, longest, {}
+        self.make, self.most, self.longest, self.old, self.owner = make, most, longest, {}, BoundedCache.working
+        BoundedCache.every.add(self)
+
+    __hash__ = object.__hash__
+
+    def __reduce__(self):
+        return BoundedCache, (self.make, self.most, self.longest)
+
+    @classmethod
+    def forget(cls, working: str) -> None:
+        """From now on ``working`` is at work, and what others kept is dropped."""
+        cls.working = working
+        for cache in list(cls.every):
+            if cache.owner != working:
+                cache.clear()
+                cache.old = {}
 
     def __missing__(self, key):
+        self.owner = BoundedCache.working
         if len(key) > self.longest:
             return self.make(key)
         if len(self) >= self.most:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.bpe import BoundedCache
 from textloom.plans.materialize import materialized
 from textloom.shipping import ship
 
@@ -46,9 +47,15 @@ def small_batches(spark: SparkSession, rows: int = ROWS) -> None:
 
 
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` by workers that know this package."""
+    """``mapInArrow`` by workers that know this package, and that keep only the words of the operator at work."""
+    owner = fn.__module__ if fn.__module__ != __name__ else fn.owner
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        BoundedCache.forget(owner)
+        yield from fn(batches)
+
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 @contextlib.contextmanager
@@ -86,4 +93,5 @@ def over_slices(fn, schema: pa.Schema, text: str):
                     schema=schema,
                 )
 
+    run.owner = fn.__module__
     return run

@@ -16,6 +16,7 @@ table.  Only the table is broadcast.  Every text is read whole; nothing is shuff
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -52,49 +53,72 @@ def log_odds(hazard):
 
 @dataclass
 class Bags:
-    """Bags of subwords and where they occur: ``rows`` of the table by ``owner`` (a bag); bag ``bag[k]`` is in text ``text[k]``."""
+    """Bags of subwords and where they occur: ``size[i]`` of ``rows`` (of the table) in turn are bag i's; bag ``bag[k]`` is in text ``text[k]``."""
 
     rows: np.ndarray
-    owner: np.ndarray
+    size: np.ndarray
     bag: np.ndarray
     text: np.ndarray
-    bags: int
     texts: int
 
+    def blocks(self, most: int = 400_000) -> Iterator[tuple[slice, slice]]:
+        """Ranges of bags and of their rows, so that what is made of a range is small."""
+        ends = np.cumsum(self.size)
+        low = at = 0
+        while low < len(ends):
+            high = max(low + 1, int(np.searchsorted(ends, at + most, "right")))
+            yield slice(low, high), slice(at, int(ends[high - 1]))
+            low, at = high, int(ends[high - 1])
+
+    def sums(self, bag: slice, values: np.ndarray) -> np.ndarray:
+        """For each bag of a block the sum of its rows' values."""
+        size = self.size[bag]
+        out = np.zeros(len(size))
+        full = np.flatnonzero(size)
+        if len(full):
+            out[full] = np.add.reduceat(values, (np.cumsum(size) - size)[full])
+        return out
+
     def part(self, chosen: np.ndarray) -> Bags:
         """The texts of ``chosen`` (a mask) and their bags, both numbered anew."""
         keep = chosen[self.text]
-        used = np.bincount(self.bag[keep], minlength=self.bags) > 0
-        held = used[self.owner]
-        bag, text = (np.cumsum(m) - 1 for m in (used, chosen))
-        return Bags(self.rows[held], bag[self.owner[held]], bag[self.bag[keep]], text[self.text[keep]], int(used.sum()), int(chosen.sum()))
+        used = np.bincount(self.bag[keep], minlength=len(self.size)) > 0
+        bag, text = (np.cumsum(m, dtype=np.int32) - 1 for m in (used, chosen))
+        return Bags(self.rows[np.repeat(used, self.size)], self.size[used], bag[self.bag[keep]], text[self.text[keep]], int(chosen.sum()))
 
 
 def bags_of(names: list[str], word: np.ndarray, text: np.ndarray, texts: int, bits: int, whole: bool = False) -> Bags:
-    """``names``: distinct words; word ``word[k]`` is in text ``text[k]``."""
+    """``names``: distinct words; word ``word[k]`` is in text ``text[k]``, and ``text`` is in order."""
     size = np.fromiter((len(subwords(w, 0)) for w in names), np.int32, len(names))
     rows = np.fromiter((r for w in names for r in subwords(w, bits)), np.int32, int(size.sum()))
     if not whole:
-        return Bags(rows, np.repeat(np.arange(len(names), dtype=np.int32), size), word, text, len(names), texts)
+        return Bags(rows, size, word.astype(np.int32), text.astype(np.int32), texts)
     start, n = np.cumsum(size) - size, size[word]
     at = np.repeat(start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    every = np.arange(texts)
-    return Bags(rows[at], np.repeat(text, n), every, every, texts, texts)
+    every = np.arange(texts, dtype=np.int32)
+    return Bags(rows[at], np.bincount(text, n, texts).astype(np.int32), every, every, texts)
 
 
 def loss_and_gradients(table, softmax, bias, bags: Bags, use, y, weight, accuses, noise: float):
     """The weighted log loss of the texts' labels and its gradients; ``use`` masks subwords, ``accuses`` occurrences."""
     u = softmax[:, 1] - softmax[:, 0]
-    rows, owner = bags.rows[use], bags.owner[use]
-    size = np.maximum(np.bincount(owner, minlength=bags.bags), 1)
-    s = np.bincount(owner, (table @ u)[rows], bags.bags) / size + (bias[1] - bias[0])
+    part = table @ u
+    size, s = np.zeros(len(bags.size)), np.zeros(len(bags.size))
+    for bag, row in bags.blocks():
+        size[bag] = bags.sums(bag, use[row].astype(np.float32))
+        s[bag] = bags.sums(bag, part[bags.rows[row]] * use[row])
+    size = np.maximum(size, 1)
+    s = s / size + (bias[1] - bias[0])
     total = np.bincount(bags.text, np.logaddexp(0, s)[bags.bag], bags.texts)
     left = np.exp(-np.minimum(total, 30))
     wrong = noise / (1 - noise)
     loss = float((weight * np.where(y > 0, -np.log(wrong + 1 - left + 1e-12), total)).sum())
     pull = weight * np.where(y > 0, -left / (wrong + 1 - left + 1e-12), 1.0)
-    g = np.bincount(bags.bag, pull[bags.text] * accuses, bags.bags) / (1 + np.exp(-s))
-    by_row = np.bincount(rows, (g / size)[owner], len(table)).astype(table.dtype)
+    g = np.bincount(bags.bag, pull[bags.text] * accuses, len(size)) / (1 + np.exp(-s))
+    by_row, share = np.zeros(len(table)), g / size
+    for bag, row in bags.blocks():
+        by_row += np.bincount(bags.rows[row], np.repeat(share[bag], bags.size[bag]) * use[row], len(table))
+    by_row = by_row.astype(table.dtype)
     down = table.T @ by_row
     return loss, [by_row[:, None] * u[None, :], np.stack([-down, down], 1), np.array([-g.sum(), g.sum()], table.dtype)]
 
@@ -150,12 +174,12 @@ def _descend(bags: Bags, y: np.ndarray, bits: int, dim: int, epochs: int, rate:
     toxic = y > 0
     accuses = np.ones(len(bags.bag), bool)
     if not whole:
-        accuses = np.bincount(bags.bag, toxic[bags.text], bags.bags)[bags.bag] >= max(3, 0.01 * toxic.sum())
+        accuses = np.bincount(bags.bag, toxic[bags.text])[bags.bag] >= max(3, 0.01 * toxic.sum())
         accuses |= ~toxic[bags.text]
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, epochs + 1):
-        use = rng.random(len(bags.rows), np.float32) < 0.67
+        use = rng.integers(0, 256, len(bags.rows), np.uint8) < 171  # two thirds
         _, grads = loss_and_gradients(*params, bags, use, y, weight, accuses, noise)
         for k, (p, d) in enumerate(zip(params, grads)):
             first[k] += 0.1 * (d - first[k])
@@ -168,9 +192,10 @@ def _descend(bags: Bags, y: np.ndarray, bits: int, dim: int, epochs: int, rate:
 
 def _margins(model: Model, bags: Bags) -> np.ndarray:
     """Log odds of every text of ``bags``."""
-    part = model.table @ (model.softmax[:, 1] - model.softmax[:, 0])
-    size = np.maximum(np.bincount(bags.owner, minlength=bags.bags), 1)
-    s = np.bincount(bags.owner, part[bags.rows], bags.bags) / size + (model.bias[1] - model.bias[0])
+    part, s = model.table @ (model.softmax[:, 1] - model.softmax[:, 0]), np.zeros(len(bags.size))
+    for bag, row in bags.blocks():
+        s[bag] = bags.sums(bag, part[bags.rows[row]])
+    s = s / np.maximum(bags.size, 1) + (model.bias[1] - model.bias[0])
     return log_odds(np.bincount(bags.text, np.logaddexp(0, s)[bags.bag], bags.texts))
 
 
@@ -183,7 +208,7 @@ def fit(bags: Bags, y: np.ndarray, bits: int = 17, dim: int = 12, epochs: int =
     and a share ``noise`` of the toxic labels is taken to be wrong, so that a text that
     nothing explains is given up instead of being learned.
 
-    The logistic curve is fitted on the odds that models of each half give the other half,
+    The logistic curve is fitted on the odds that a model of one half gives the other half,
     with the toxic texts weighing ``share`` of all, which is their share among labelled rows.
     """
     toxic = y > 0
@@ -198,11 +223,8 @@ def fit(bags: Bags, y: np.ndarray, bits: int = 17, dim: int = 12, epochs: int =
     for label in (True, False):
         half[toxic == label] = rng.permutation((toxic == label).sum()) % 2 == 0
     if min(toxic[half].sum(), toxic[~half].sum(), (~toxic[half]).sum(), (~toxic[~half]).sum()) > 0:
-        margin = np.empty(len(y))
-        for chosen in (half, ~half):
-            margin[~chosen] = _margins(_descend(bags.part(chosen), y[chosen], *settings), bags.part(~chosen))
-        weight = np.where(toxic, share / toxic.mean(), (1 - share) / (~toxic).mean())
-        model.slope, model.shift = logistic(margin, y, weight)
+        margin, seen = _margins(_descend(bags.part(half), y[half], *settings), bags.part(~half)), toxic[~half]
+        model.slope, model.shift = logistic(margin, y[~half], np.where(seen, share / seen.mean(), (1 - share) / (~seen).mean()))
     return model
 
 
