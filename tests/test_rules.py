@@ -6,7 +6,7 @@ from textloom import schemas
 from textloom.operators import graph
 from textloom.operators.graph import Facts
 from textloom.plans import evaluate, hunt
-from textloom.plans.rules import RuleError, read_rule_dir, read_rule_text
+from textloom.plans.rules import RuleError, describe, read_rule_dir, read_rule_text
 
 A = "a" * 64
 
@@ -144,3 +144,11 @@ def test_rule_folder(tmp_path):
     with pytest.raises(RuleError):
         read_rule_dir(tmp_path)
     assert len(read_rule_dir(tmp_path, skip_bad=True)) == 2
+
+
+def test_describe(tmp_path):
+    (tmp_path / "a.yaml").write_text('version: "1.0"\nid: one\ndescription: d\nmetadata: {description: more, author: me, references: ["https://a.example/x"]}\nselect: {e: {entity: {type: FILE}}}\nwhere: [{path: {from: e, to: e}}]\n')
+    (tmp_path / "b.yaml").write_text("broken")
+    (tmp_path / "c.yaml").write_text('version: "1.0"\nid: two\ndescription: d\nselect: {e: {entity: {type: FILE}}}\nwhere: [{path: {from: e, to: e}}]\n')
+    got = describe(tmp_path)
+    assert [(r["id"], r["description"], r["author"], r["references"]) for r in got] == [("one", "more", "me", ["https://a.example/x"]), ("two", "d", None, [])] and got[1]["text"].startswith("version")

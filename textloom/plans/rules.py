@@ -273,3 +273,16 @@ def read_rule_dir(path: str | Path, skip_bad: bool = False) -> list[Rule]:
             if not skip_bad:
                 raise
     return out
+
+
+def describe(path: str | Path) -> list[dict]:
+    """What a folder's sound rules say of themselves, by file name: id, description, author, references and their text."""
+    out = []
+    for p in sorted(Path(path).glob("*.yaml")):
+        try:
+            rule = read_rule(p)
+        except RuleError:
+            continue
+        about = rule.metadata or {}
+        out.append({"id": rule.id, "description": about.get("description", rule.description), "author": about.get("author"), "references": list(about.get("references") or []), "text": p.read_text(encoding="utf-8")})
+    return out

@@ -124,26 +124,23 @@ def ann_kind_counts(spark, sf_dir):
     return annotate.annotate(_docs(spark, sf_dir, "pages", "page_id", "html")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def _counted(kind: str, sql: str) -> str:
-    return f"SELECT '{kind}' AS kind, n FROM (SELECT count(*) AS n FROM ({sql})) WHERE n > 0"
+_FILE_NAME = "[A-Za-z0-9][A-Za-z0-9_.-]{0,127}[.](?:md|txt|json|yaml|yml|toml|ini|cfg|conf|lock|lockb|py|js|ts|tsx|jsx|sh|ps1)"
 
 
-def _plain(cls: str) -> str:
-    return _run_sql(cls, "run", "TRUE", "pages", "page_id", "html")
+def _kinds(*where: str) -> list[tuple[str, str]]:
+    """Each kind with the SQL of its annotations in a table (table, key, text)."""
+    key = where[1]
+    plain = lambda cls: _run_sql(cls, "run", "TRUE", *where)
+    return [
+        ("url", _run_sql(*URL, *where)), ("domain", _run_sql(*DOMAIN, *where)), ("ip_address", _run_sql(*IP, *where)), ("filesystem_path", plain(PATHS)), ("base64_candidate", _run_sql(*BASE64, *where)), ("hex_candidate", _run_sql(*HEX, *where)),
+        ("environment_variable", plain(r"\$(?:\{[A-Za-z_][A-Za-z0-9_]*\}|[A-Za-z_][A-Za-z0-9_]*)")), ("code_fence", plain(r"(?s)```[^\r\n]*\r?\n.*?```")),
+        ("shell_command", plain(r"(?m)^\s*(?:[$#]\s*)?(?:curl|wget|python3?|node|bash|sh|zsh|pwsh|powershell|rm|cp|mv|cat|grep|sed|awk|chmod|chown|git)\b[^\r\n]*")), ("url_encoded_candidate", plain("(?:%[0-9A-Fa-f]{2}){4,}")),
+        ("high_entropy_candidate", f"WITH {_runs('[A-Za-z0-9+/=_-]{32,}', *where)}, c AS (SELECT {key}, s, run, unnest(string_split(run, '')) AS ch FROM r), n AS (SELECT {key}, s, run, ch, count(*) / length(run) AS p FROM c GROUP BY {key}, s, run, ch) SELECT {key}, s FROM n GROUP BY {key}, s HAVING -sum(p * log2(p)) >= 3.5 - 1e-9"),
+        ("explicit_file_reference", f"SELECT {key}, start FROM ({plain(r'(?i)\b(?:include|file|path|reference)[ \t]*:[ \t]*[^\s#]+')}) UNION ALL SELECT {key}, start FROM ({_run_sql('[A-Za-z0-9_.-]+', 'run', f"regexp_matches(value, '(?i){_FILE_NAME}($|[.]+$)')", *where)})"),
+    ]
 
 
-_PAGES = ("pages", "page_id", "html")
-_FILE_NAME = "[A-Za-z0-9][A-Za-z0-9_.-]{0,127}[.](?:md|txt|json|yaml|yml|toml|ini|cfg|conf|lock|lockb|py|js|ts|tsx|jsx|sh|ps1)"
-KIND_COUNTS_SQL = " UNION ALL ".join(
-    _counted(kind, sql)
-    for kind, sql in (
-        ("url", _run_sql(*URL, *_PAGES)), ("domain", _run_sql(*DOMAIN, *_PAGES)), ("ip_address", _run_sql(*IP, *_PAGES)), ("filesystem_path", PATH_SQL), ("base64_candidate", _run_sql(*BASE64, *_PAGES)), ("hex_candidate", _run_sql(*HEX, *_PAGES)),
-        ("environment_variable", _plain(r"\$(?:\{[A-Za-z_][A-Za-z0-9_]*\}|[A-Za-z_][A-Za-z0-9_]*)")), ("code_fence", _plain(r"(?s)```[^\r\n]*\r?\n.*?```")),
-        ("shell_command", _plain(r"(?m)^\s*(?:[$#]\s*)?(?:curl|wget|python3?|node|bash|sh|zsh|pwsh|powershell|rm|cp|mv|cat|grep|sed|awk|chmod|chown|git)\b[^\r\n]*")), ("url_encoded_candidate", _plain("(?:%[0-9A-Fa-f]{2}){4,}")),
-        ("high_entropy_candidate", f"WITH {_runs('[A-Za-z0-9+/=_-]{32,}', *_PAGES)}, c AS (SELECT page_id, s, run, unnest(string_split(run, '')) AS ch FROM r), n AS (SELECT page_id, s, run, ch, count(*) / length(run) AS p FROM c GROUP BY page_id, s, run, ch) SELECT page_id, s FROM n GROUP BY page_id, s HAVING -sum(p * log2(p)) >= 3.5 - 1e-9"),
-        ("explicit_file_reference", f"SELECT * FROM ({_plain(r'(?i)\b(?:include|file|path|reference)[ \t]*:[ \t]*[^\s#]+')}) UNION ALL SELECT * FROM ({_run_sql('[A-Za-z0-9_.-]+', 'run', f"regexp_matches(value, '(?i){_FILE_NAME}($|[.]+$)')", *_PAGES)})"),
-    )
-)
+KIND_COUNTS_SQL = " UNION ALL ".join(f"SELECT '{kind}' AS kind, n FROM (SELECT count(*) AS n FROM ({sql})) WHERE n > 0" for kind, sql in _kinds("pages", "page_id", "html"))
 
 
 def line_col(spark, sf_dir):
@@ -241,9 +238,16 @@ DIAGNOSTICS_SQL = (
     "UNION ALL SELECT p.doc_id, 2, c.codec, c.size, c.b, c.text, p.s, p.e, c.s, c.e, -1 FROM two c JOIN taken p USING (k) WHERE p.depth = 1 "
     "UNION ALL SELECT p.doc_id, 3, c.codec, c.size, c.b, c.text, p.s, p.e, p.s2, p.e2, c.s FROM three c JOIN taken p USING (k)), "
     "seen AS (SELECT *, count(CASE WHEN depth < 3 AND size <= 16384 AND text <> '' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY s, e, s2, e2, s3 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM every), "
-    "told AS (SELECT CASE WHEN size > 16384 THEN 'decode_limit:too many characters to decode' WHEN b IS NULL THEN 'decode_invalid:not sound base64' WHEN depth = 3 THEN 'decode_limit:nested too deeply' "
-    "WHEN before >= 16 THEN 'decode_limit:too many children' WHEN text IS NULL THEN 'decode_non_text:decoded to no UTF-8 text' WHEN text = '' THEN 'decode_invalid:decoded to nothing' END AS said FROM seen) "
-    "SELECT split_part(said, ':', 1) AS code, split_part(said, ':', 2) AS message, count(*) AS n FROM told WHERE said IS NOT NULL GROUP BY said"
+    "told AS (SELECT doc_id, CASE WHEN size > 16384 THEN 'decode_limit:too many characters to decode' WHEN b IS NULL THEN 'decode_invalid:not sound base64' WHEN depth = 3 THEN 'decode_limit:nested too deeply' "
+    "WHEN before >= 16 THEN 'decode_limit:too many children' WHEN text IS NULL THEN 'decode_non_text:decoded to no UTF-8 text' WHEN text = '' THEN 'decode_invalid:decoded to nothing' END AS said FROM seen), "
+    "found AS (SELECT doc_id, split_part(said, ':', 1) AS code, split_part(said, ':', 2) AS message FROM told WHERE said IS NOT NULL) "
+)
+DIAGNOSTIC_COUNTS_SQL = f"{DIAGNOSTICS_SQL} SELECT code, message, count(*) AS n FROM found GROUP BY ALL"
+REPORT_SQL = (
+    "WITH d AS (SELECT sha256(coalesce(text, '')) AS artifact_id, min(doc_id) AS doc_id, count(*) AS occurrences FROM documents GROUP BY 1), "
+    f"a AS (SELECT doc_id, count(*) AS n FROM ({' UNION ALL '.join(f'SELECT doc_id FROM ({sql})' for _, sql in _kinds('documents', 'doc_id', 'text'))}) GROUP BY 1), "
+    f"c AS (SELECT doc_id, count(*) AS n FROM ({CHILDREN_SQL}) GROUP BY 1), t AS (SELECT doc_id, count(*) AS n FROM ({DIAGNOSTICS_SQL} SELECT doc_id FROM found) GROUP BY 1) "
+    "SELECT artifact_id, occurrences, coalesce(a.n, 0) AS annotations, coalesce(c.n, 0) AS virtual_children, coalesce(t.n, 0) AS decode_diagnostics FROM d LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"
 )
 
 
@@ -311,7 +315,8 @@ ORACLES = {
     "ann_crafted": CRAFTED_SQL,
     "decode_percent": PERCENT_SQL,
     "decode_children": CHILDREN_SQL,
-    "decode_diag_counts": DIAGNOSTICS_SQL,
+    "decode_diag_counts": DIAGNOSTIC_COUNTS_SQL,
+    "scan_report": REPORT_SQL,
     "domain_suppression": SUPPRESSED_SQL,
     "static_entities": STATIC_SQL,
     "local_trust": LOCAL_TRUST_SQL,
