@@ -2,7 +2,6 @@ import hashlib
 import ipaddress
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import vocab
@@ -42,16 +41,22 @@ def test_identity(spark):
     assert [r.id for r in rows] == [f"static.network_destination.{digest}"]
 
 
-@pytest.mark.parametrize("value", ["::1", "::", "fe80::1", "febf::", "fec0::1", "fc00::1", "fdff::", "fe00::1", "2001:db8::1", "0:0:0:0:0:0:0:1", "1::2::3", ":::", "1:2:3", "::2", "0::0", "fe80:0:0:0:0:0:0:1", "10.1.2.3", "11.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.1.1", "169.254.9.9", "0.1.2.3", "127.0.0.1", "127.0.0.256", "010.1.1.1", "1.2.3", "localhost", "a.localhost", "localhost.a"])
-def test_local_addresses(spark, value):
-    try:
-        address = ipaddress.ip_address(value)
-        want = any(address in ipaddress.ip_network(n) for n in vocab.LOCAL_NETWORKS)
-    except ValueError:
-        want = value in ("localhost", "a.localhost")
-    bracketed = f"http://[{value}]:8/x" if ":" in value else f"http://{value}:8/x"
-    row = spark.createDataFrame([(value, bracketed)], "v string, u string").select(indicators.local_destination(F.col("v")).alias("v"), indicators.local_destination(F.col("u")).alias("u")).first()
-    assert tuple(row) == (want, want)
+HOSTS = [
+    "::1", "::", "fe80::1", "febf::", "fec0::1", "fc00::1", "fdff::", "fe00::1", "2001:db8::1", "0:0:0:0:0:0:0:1", "1::2::3", ":::", "1:2:3", "::2", "0::0", "fe80:0:0:0:0:0:0:1", "10.1.2.3", "11.1.2.3", "172.16.0.1", "172.32.0.1",
+    "192.168.1.1", "169.254.9.9", "0.1.2.3", "127.0.0.1", "127.0.0.256", "010.1.1.1", "1.2.3", "localhost", "a.localhost", "localhost.a",
+]
+
+
+def test_local_addresses(spark):
+    rows = [(v, f"http://[{v}]:8/x" if ":" in v else f"http://{v}:8/x") for v in HOSTS]
+    df = spark.createDataFrame(rows, "v string, u string")
+    for r in df.select("v", indicators.local_destination(F.col("v")).alias("bare"), indicators.local_destination(F.col("u")).alias("url")).collect():
+        try:
+            address = ipaddress.ip_address(r.v)
+            want = any(address in ipaddress.ip_network(n) for n in vocab.LOCAL_NETWORKS)
+        except ValueError:
+            want = r.v in ("localhost", "a.localhost")
+        assert (r.bare, r.url) == (want, want), r.v
 
 
 def test_containment_equals_brute_force(spark):

@@ -14,11 +14,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import annotate, decode
 from textloom.plans import evaluate, reports
 from textloom.plans.rules import Rule, RuleError, read_rule, read_rule_dir
-from textloom.session import InputError, Session, load
-from textloom.sources import corpus, files, model
+from textloom.session import InputError, Session, scan_tables
+from textloom.sources import corpus, model
 
 
 def _rows(df: DataFrame, *order: str) -> list:
@@ -27,18 +26,14 @@ def _rows(df: DataFrame, *order: str) -> list:
 
 def scan(spark: SparkSession, path: str) -> dict:
     """The report of one file or folder: artifacts, annotations, children and diagnostics, all sorted."""
-    load(spark, path)
-    scanned = files.scan(spark, path)
-    artifacts = files.accepted(scanned)
-    once = artifacts.select("artifact_id", "text").dropDuplicates(["artifact_id"])
-    expanded = decode.expand(once)
+    found = scan_tables(spark, path)
     return {
-        "annotations": _rows(annotate.annotate(once).drop("value"), "artifact_id", "start", "end", "kind"),
-        "artifacts": _rows(artifacts.select("artifact_id").distinct(), "artifact_id"),
-        "decode_diagnostics": _rows(decode.diagnostics(expanded), "root_id", "ordinal"),
-        "diagnostics": _rows(files.diagnostics(scanned), "path"),
-        "occurrences": _rows(artifacts.select("source_name", "artifact_id"), "source_name"),
-        "virtual_children": _rows(decode.children(expanded).drop("text"), "root_id", "ordinal"),
+        "annotations": _rows(found["annotations"].drop("value"), "artifact_id", "start", "end", "kind"),
+        "artifacts": _rows(found["artifacts"].select("artifact_id").distinct(), "artifact_id"),
+        "decode_diagnostics": _rows(found["decode_diagnostics"], "root_id", "ordinal"),
+        "diagnostics": _rows(found["diagnostics"], "path"),
+        "occurrences": _rows(found["artifacts"].select("source_name", "artifact_id"), "source_name"),
+        "virtual_children": _rows(found["virtual_children"].drop("text"), "root_id", "ordinal"),
     }
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import Facts
+from textloom.plans.materialize import materialized
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +44,11 @@ def order_facts(spark: SparkSession, sf_dir: str) -> Facts:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     o = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     o = o.withColumn("artifact_id", F.sha2(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).cast("binary"), 256))
+    # Both tables are read by a dozen branches below, so they are joined once and written.
+    o = materialized(o.select("artifact_id", "o_orderkey", "o_custkey", "o_orderstatus", "c_nationkey", "c_acctbal", "c_mktsegment", "r_name"))
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
     lines = lines.agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
-    lines = lines.join(o.select("o_orderkey", "artifact_id"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = materialized(lines.join(o.select("o_orderkey", "artifact_id"), F.col("l_orderkey") == F.col("o_orderkey")))
     part, supplier = F.concat(F.lit("part."), "l_partkey"), F.concat(F.lit("supplier."), "l_suppkey")
     flows = lines.select("artifact_id", F.explode(F.array("l_linenumber", F.col("l_linenumber") - 1)).alias("n")).distinct()
     entities = _entity(o, "order", "MESSAGE", F.col("o_orderstatus"), F.concat(F.lit("order-"), "o_orderkey"), F.when(F.col("o_orderstatus") == "F", "UNTRUSTED").otherwise("TRUSTED"), 0)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import ids
+from textloom.operators import annotate, decode
 from textloom.operators.decode import DecodeLimits
 from textloom.plans import evaluate, hunt, reports, rules
 from textloom.plans.lift import Lifted, Reader, Unpacker, lift
@@ -124,3 +125,21 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         if code and code[0]:
             raise InputError(code[0], SAID[code[0]], path)
     return files.accepted(scanned)
+
+
+def scan_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What a file or folder shows without any reading: artifacts by occurrence, annotations, decoded children, and what was wrong.
+
+    Texts that occur several times are scanned once.
+    """
+    load(spark, path)
+    scanned = files.scan(spark, path)
+    artifacts = files.accepted(scanned)
+    once = artifacts.select("artifact_id", "text").dropDuplicates(["artifact_id"])
+    return {
+        "artifacts": artifacts,
+        "annotations": annotate.annotate(once),
+        "virtual_children": decode.children(decode.expand(once, sound=True)),
+        "decode_diagnostics": decode.diagnostics(decode.expand(once)),
+        "diagnostics": files.diagnostics(scanned),
+    }
