@@ -55,8 +55,12 @@ def test_codes_equal_the_library():
 
 
 def test_cache_keeps_within_its_bound():
-    cache = bpe.BoundedCache(lambda k: k + 1, most=10)
-    assert [cache[k % 17] for k in range(200)] == [k % 17 + 1 for k in range(200)] and len(cache) <= 10
+    cache = bpe.BoundedCache(lambda k: k + "!", most=10, longest=5)
+    keys = [str(k % 17) for k in range(200)]
+    assert [cache[k] for k in keys] == [k + "!" for k in keys] and len(cache) <= 10
+    assert cache["longer"] == "longer!" and "longer" not in cache
+    bpe.BoundedCache.forget("another")
+    assert not cache and not cache.old and cache["1"] == "1!"
 
 
 ROWS = [(1, "some words"), (2, None), (3, ""), (None, "no key"), (1, "some words"), (4, "x " * 5000)]
