@@ -6,6 +6,7 @@ import json
 
 import pytest
 
+from textloom import queries_scan
 from textloom.operators import decode
 from textloom.operators.decode import DecodeLimits
 
@@ -85,3 +86,11 @@ def test_nulls_and_bad_limits(spark):
     assert run(spark, None) == ([], [])
     with pytest.raises(ValueError):
         DecodeLimits(max_aggregate_bytes=1)
+
+
+def test_depth_one_has_every_payload_of_a_document(spark, tmp_path):
+    text = " ".join(base64.b64encode(f"hidden {k:05}".encode()).decode() for k in range(300))
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries_scan.decode_depth_one(spark, str(tmp_path)).orderBy("start").collect()
+    assert [r.text for r in got] == [f"hidden {k:05}" for k in range(300)]
+    assert all(r.doc_id == 1 and base64.b64decode(text[r.start : r.end]).decode() == r.text for r in got)

@@ -205,6 +205,15 @@ def expand(artifacts: DataFrame, limits: DecodeLimits = DecodeLimits(), sound: b
     return rows.select("root_id", F.posexplode(every).alias("ordinal", "o")).select("root_id", "ordinal", "o.*")
 
 
+def decoded(artifacts: DataFrame, limits: DecodeLimits = DecodeLimits()) -> DataFrame:
+    """(root_id, start, end, codec, text) of every candidate of (artifact_id, text) that decodes to a text, one level deep.
+
+    Each is held to the limits of one candidate; no budget of children or bytes is spent, so none is left out.
+    """
+    found = artifacts.select(F.col("artifact_id").alias("root_id"), F.explode(candidates(F.col("text"), limits, sound=True)).alias("c"))
+    return found.select("root_id", "c.start", "c.end", "c.codec", "c.text")
+
+
 def children(expanded: DataFrame) -> DataFrame:
     """The accepted virtual children as artifacts with their provenance."""
     provenance = F.struct("parent_artifact_id", "parent_span", "codec", "depth", "chain")
