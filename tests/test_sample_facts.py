@@ -54,3 +54,10 @@ def test_lines_of_one_number_and_orders_without_lines(spark, tmp_path):
     assert facts.entities.filter("id = 'order'").count() == 2
     sources = facts.entities.select(*graph.KEY, "id").withColumnRenamed("id", "source")
     assert graph.reachable(graph.edges_of(facts.relationships), sources).filter("source = 'order' and target = 'region'").count() == 2
+
+
+def test_one_row_for_each_text_of_a_fragment_goes_to_the_texts(shuffled):
+    """The rows dealt out by the text that evidence names are sums of the fragment's own rows."""
+    plan = queries_facts.hunt_unsupported(shuffled, SF)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning(_of#") :].split("\n")[1]
+    assert "HashAggregate" in below or "Filter" in below, below
