@@ -245,6 +245,20 @@ def test_stage_on_documents(spark):
     assert sorted(r.doc_id for r in got) == sorted({rows[k][0] for k in want})
 
 
+def test_stage_proposes_by_simhash(spark, monkeypatch):
+    """Without the prefix filter's pairs, texts within four bits of each other are still linked by their fingerprints; no others are."""
+    base = [prose(400) for _ in range(8)]
+    texts = base + [b + " w1" for b in base] + [b.replace("w1", "W1") for b in base]
+    fps = [slow_fingerprint(t) for t in texts]
+    sets = [shingles(t) for t in texts]
+    want = reach(len(texts), lambda i, j: sets[i] == sets[j] or (fps[i] ^ fps[j]).bit_count() <= 4 and alike(sets[i], sets[j]))
+    assert len(set(want)) < len({frozenset(s) for s in sets})
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(near, "_pairs", lambda tiles, find: none)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()) == sorted(set(want))
+
+
 def test_stage_edges(spark):
     text, other = prose(40), prose(40)
     rows = [(None, text), (7, text), (7, text), (9, None), (8, ""), (3, other), (5, other), (5, prose(40))]
