@@ -63,6 +63,20 @@ def test_one_row_for_each_text_of_a_fragment_goes_to_the_texts(shuffled):
     assert "HashAggregate" in below or "Filter" in below, below
 
 
+@pytest.mark.parametrize("name", ["path_exists"])
+def test_walks_are_counted_where_they_are_walked(shuffled, name):
+    assert _dealt(queries_facts.QUERIES[name](shuffled, SF)) == []
+
+
+def test_counts_equal_the_listed_paths(spark):
+    edges = [("k", 0, a, b, f"{a}{b}{n}") for a, b, n in (("a", "b", 0), ("a", "b", 1), ("b", "c", 0), ("c", "a", 0), ("a", "c", 0), ("c", "d", 0))]
+    edges = spark.createDataFrame(edges, "artifact_id string, ordinal int, source string, target string, edge string")
+    pairs = spark.createDataFrame([("k", 0, *p) for p in (("a", "d"), ("b", "a"), ("d", "a"), ("a", "a"), ("x", "d"), (None, "d"))], "artifact_id string, ordinal int, source string, sink string")
+    sources = pairs.select(*graph.KEY, "source").filter("source is not null").distinct()
+    reached = graph.reachable(edges, sources).groupBy("source").count().collect()
+    assert {(r.source, r["count"]) for r in reached} == {(r.source, r.n) for r in graph.reach_counts(edges, sources).collect()}
+
+
 def test_evidence_is_united_without_comparing_every_two(spark):
     rows = [[[("b", 1, 2), ("a", 5, 6)], [("a", 5, 6), None], [("a", 0, 9), ("a", 0, 3), None]], [[]], None]
     df = spark.createDataFrame([(r,) for r in rows], "e array<array<struct<artifact_id:string,start:int,end:int>>>")

@@ -56,8 +56,7 @@ def _suppliers(facts: Facts) -> DataFrame:
 
 def path_exists(spark, sf_dir):
     facts = order_facts(spark, sf_dir)
-    found = graph.reachable(graph.edges_of(facts.relationships), _suppliers(facts))
-    return found.groupBy("artifact_id", "source").agg(F.count("*").alias("within_reach"))
+    return graph.reach_counts(graph.edges_of(facts.relationships), _suppliers(facts)).select("artifact_id", "source", F.col("n").alias("within_reach"))
 
 
 def first_path(spark, sf_dir):
