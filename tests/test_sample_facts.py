@@ -63,7 +63,7 @@ def test_one_row_for_each_text_of_a_fragment_goes_to_the_texts(shuffled):
     assert "HashAggregate" in below or "Filter" in below, below
 
 
-@pytest.mark.parametrize("name", ["path_exists"])
+@pytest.mark.parametrize("name", ["path_exists", "all_paths"])
 def test_walks_are_counted_where_they_are_walked(shuffled, name):
     assert _dealt(queries_facts.QUERIES[name](shuffled, SF)) == []
 
@@ -72,6 +72,12 @@ def test_counts_equal_the_listed_paths(spark):
     edges = [("k", 0, a, b, f"{a}{b}{n}") for a, b, n in (("a", "b", 0), ("a", "b", 1), ("b", "c", 0), ("c", "a", 0), ("a", "c", 0), ("c", "d", 0))]
     edges = spark.createDataFrame(edges, "artifact_id string, ordinal int, source string, target string, edge string")
     pairs = spark.createDataFrame([("k", 0, *p) for p in (("a", "d"), ("b", "a"), ("d", "a"), ("a", "a"), ("x", "d"), (None, "d"))], "artifact_id string, ordinal int, source string, sink string")
+    for depth in (None, 2):
+        listed = {}
+        for r in graph.paths(edges, pairs, depth).collect():
+            n, longest = listed.get((r.source, r.sink), (0, 0))
+            listed[r.source, r.sink] = n + 1, max(longest, len(r.edges))
+        assert listed == {(r.source, r.sink): (r.n, r.longest) for r in graph.path_counts(edges, pairs, depth).collect()}
     sources = pairs.select(*graph.KEY, "source").filter("source is not null").distinct()
     reached = graph.reachable(edges, sources).groupBy("source").count().collect()
     assert {(r.source, r["count"]) for r in reached} == {(r.source, r.n) for r in graph.reach_counts(edges, sources).collect()}
