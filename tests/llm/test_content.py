@@ -378,3 +378,15 @@ def test_pipeline_on_odd_tables(spark):
             if name != "packing":
                 assert now.columns == names
         assert (now.count() > 0) == (df is odd)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_models_are_fitted_outside_the_driver(spark, module, monkeypatch):
+    def here(*_, **__):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(module, "fit", here)
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad !! 77 signs") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = module.train(docs, labels)
+    assert model.score("good words here") > model.score("bad !! 77 signs")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import BoundedCache
-from textloom.llm.common import arrow_map, cut, over_slices
+from textloom.llm.common import arrow_map, cut, in_worker, over_slices
 from textloom.llm.labelled import held_out, logistic, sample
 
 TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
@@ -128,7 +128,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, names: list[str], share: float, c
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, rest: int = 1, most: int = 2500, width: int = 60_000, least: int = 3, key: str = "doc_id", text: str = "text") -> Model:
-    """Fit on at most ``most`` rows of each label; the n-grams' counts are summed in Spark."""
+    """Fit on at most ``most`` rows of each label; the n-grams' counts are summed in Spark, and the model is fitted in a worker."""
     schema = pa.schema([("label", pa.int32()), ("grams", pa.list_(pa.string()))])
 
     def run(batch: pa.RecordBatch) -> list:
@@ -140,8 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
     # Above all n-grams whose counts in the classes differ most for chance.
     surprise = F.abs(F.col("n1") - F.col("n") * F.lit(total.n1 / max(1, total.n))) / F.sqrt("n")
-    best = counts.filter(F.col("n") >= least).orderBy(surprise.desc(), "gram").limit(width).select("gram").collect()
-    names = sorted(r.gram for r in best)
+    best = counts.filter(F.col("n") >= least).orderBy(surprise.desc(), "gram").limit(width).select("gram")
+    names = sorted(best.toArrow().column(0).to_pylist())
     index = {g: i for i, g in enumerate(names)}
     known = docs.sparkSession.sparkContext.broadcast(index)
     schema2 = pa.schema([("label", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -151,12 +151,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
             ids = [sorted(known.value[g] for g in one if g in known.value) for one in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, schema2[1].type)], schema=schema2)
 
-    got = arrow_map(rows, place, "label int, ids array<int>").collect()
-    got.sort(key=lambda r: (r.label, r.ids))
-    known.destroy()
-    y = np.array([1 if r.label else -1 for r in got])
     ones = labels.filter(F.col(label).isin(0, 1) & ~held_out(key, parts, rest)).agg(F.avg(label)).first()[0]
-    return fit([np.array(r.ids, np.int64) for r in got], y, names, min(0.99, max(0.01, ones or 0.5)))
+    share = min(0.99, max(0.01, ones or 0.5))
+
+    model = in_worker(arrow_map(rows, place, "label int, ids array<int>"), lambda got: _learnt(got, known.value, share))
+    known.destroy()
+    return model
+
+
+def _learnt(got: pa.Table, index: dict[str, int], share: float) -> Model:
+    """The model of labelled rows (label, ids), the ids in order and as ``index`` numbers the n-grams."""
+    ids, marks = [r.values.to_numpy() for r in got.column(1)], got.column(0).to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (marks[i], ids[i].astype(">i4").tobytes()))  # by value, whatever the tasks' order
+    y = np.array([1 if marks[i] else -1 for i in order])
+    return fit([ids[i].astype(np.int64) for i in order], y, sorted(index, key=index.__getitem__), share)
 
 
 def with_scores(docs: DataFrame, model: Model, cutoff: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import BoundedCache
-from textloom.llm.common import arrow_map, over_slices
+from textloom.llm.common import arrow_map, in_worker, over_slices
 from textloom.llm.labelled import held_out, logistic, sample
 
 RUNS = re.compile(r"\w+").findall
@@ -229,14 +229,21 @@ def fit(bags: Bags, y: np.ndarray, bits: int = 17, dim: int = 12, epochs: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, rest: int = 2, most: int = 1000, key: str = "doc_id", text: str = "text", whole: bool = False, bits: int = 17) -> Model:
-    """Fit on at most ``most`` rows of each label; only their distinct words reach the driver, as Arrow columns."""
+    """Fit on at most ``most`` rows of each label; only their distinct words are gathered, in one worker, and only the model reaches the driver."""
     schema = pa.schema([("label", pa.int32()), ("words", pa.list_(pa.string()))])
 
     def run(batch: pa.RecordBatch) -> list:
         return [batch.column(0), [sorted(words(t)) for t in batch.column(1).to_pylist()]]
 
     rows = arrow_map(sample(docs, labels, label, parts, rest, most, key, text), over_slices(run, schema, text), "label int, words array<string>")
-    got = rows.toArrow().combine_chunks()
+    ones = labels.filter(F.col(label).isin(0, 1) & ~held_out(key, parts, rest)).agg(F.avg(label)).first()[0]
+    share = min(0.99, max(0.01, ones or 0.5))
+    return in_worker(rows, lambda got: _learnt(got, bits, whole, share))
+
+
+def _learnt(got: pa.Table, bits: int, whole: bool, share: float) -> Model:
+    """The model of labelled rows (label, words)."""
+    got = got.combine_chunks()
     y = got.column(0).to_numpy()
     found = got.column(1).combine_chunks()
     text_of, coded = pc.list_parent_indices(found).to_numpy(), pc.list_flatten(found).dictionary_encode()
@@ -249,8 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     order = sorted(range(len(y)), key=lambda i: (y[i], cuts[i].tobytes()))
     word = np.concatenate([*(cuts[i] for i in order), np.empty(0, np.int64)])
     text_new = np.repeat(np.arange(len(y)), [len(cuts[i]) for i in order])
-    ones = labels.filter(F.col(label).isin(0, 1) & ~held_out(key, parts, rest)).agg(F.avg(label)).first()[0]
-    return fit(bags_of(sorted(names), word, text_new, len(y), bits, whole), y[order], bits, whole=whole, share=min(0.99, max(0.01, ones or 0.5)))
+    return fit(bags_of(sorted(names), word, text_new, len(y), bits, whole), y[order], bits, whole=whole, share=share)
 
 
 def with_scores(docs: DataFrame, model: Model, cutoff: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
