@@ -104,3 +104,35 @@ def test_orders_are_dealt_out_once_for_a_path(spark):
 
     walk(queries_facts.first_path(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().initialPlan())
     assert len(found) > 1 and all(found[0].sameResult(other) for other in found[1:])
+
+
+def _nodes(plan, name):
+    children = plan.children()
+    return (name in plan.nodeName()) + sum(_nodes(children.apply(i), name) for i in range(children.size()))
+
+
+@pytest.mark.parametrize("name,sorts", [("rule_first_match", 4), ("any_selector", 4), ("uses_decodes_to", 4), ("rule_paths", 4), ("rule_sequence", 4), ("decoded_from", 6)])
+def test_a_rule_sorts_no_facts(shuffled, name, sorts):
+    """The tables' rows meet as whole fragments; a rule adds no join of facts, so no sorter that could spill (a join sorts two inputs)."""
+    plan = queries_facts.QUERIES[name](shuffled, SF)._jdf.queryExecution().executedPlan().initialPlan()
+    assert _nodes(plan, "ArrowEvalPython") == 1
+    joins = _nodes(plan, "SortMergeJoin")
+    assert joins <= sorts // 2, joins
+
+
+def test_whole_fragments_hold_the_tables_records(spark):
+    facts = order_facts(spark, SF)
+    for table in ("entities", "operations", "relationships"):
+        rows = getattr(facts, table)
+        listed = facts.fragments().selectExpr(*graph.KEY, f"inline({table})").select(rows.columns)
+        assert listed.schema.simpleString() == rows.schema.simpleString()
+        assert listed.exceptAll(rows).isEmpty() and rows.exceptAll(listed).isEmpty()
+    assert facts.fragments().count() == facts.keys().count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_replaced_tables_are_gathered_anew(spark):
+    from dataclasses import replace
+
+    facts = order_facts(spark, SF)
+    fewer = replace(facts, relationships=facts.relationships.filter("relation = 'SENT_TO'"))
+    assert {r.relation for r in fewer.fragments().selectExpr("inline(relationships)").select("relation").distinct().collect()} == {"SENT_TO"}
