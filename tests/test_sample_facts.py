@@ -136,3 +136,20 @@ def test_replaced_tables_are_gathered_anew(spark):
     facts = order_facts(spark, SF)
     fewer = replace(facts, relationships=facts.relationships.filter("relation = 'SENT_TO'"))
     assert {r.relation for r in fewer.fragments().selectExpr("inline(relationships)").select("relation").distinct().collect()} == {"SENT_TO"}
+
+
+def test_roots_are_looked_up_by_packed_ids(shuffled):
+    spark = shuffled
+    from textloom import schemas
+    from textloom.plans import hunt
+
+    sha, mixed, odd = "0a" * 32, "0A" * 32, "\0" * 32  # only the first is a packed SHA-256
+    kind = f"artifact_id string, decode_provenance struct<parent_artifact_id:string,parent_span:{schemas.SPAN}>"
+    made = lambda parent, start: (parent, (parent, start, start + 1))
+    rows = [("root", None), (sha, made("root", 3)), (mixed, made("root", 5)), (odd, made(sha, 7)), ("", made("lost", 1)), (sha, made("root", 3))]
+    got = {r.artifact_id: (r.root.artifact_id, r.root.start) for r in hunt.root_of(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {sha: ("root", 3), mixed: ("root", 5), odd: (sha, 7)}
+    twice = spark.createDataFrame([("root", None), ("x", made("root", 1)), ("x", made("root", 2))], kind)
+    assert [r.root.start in (1, 2) for r in hunt.root_of(twice).collect()] == [True]
+    plan = hunt.root_of(spark.createDataFrame(rows, kind))._jdf.queryExecution().executedPlan().initialPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 3, plan  # steps and ids by the parent, steps by the artifact
