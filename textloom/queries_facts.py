@@ -219,13 +219,9 @@ def uses_decodes_to(spark, sf_dir):
 
 def uses_role(spark, sf_dir):
     """The same rule for each role: how many fragments it hits."""
-    facts = order_facts(spark, sf_dir)
-    out = None
-    for role in ("actor", "input", "output", "destination", "any"):
-        rule = rules.read_rule_text(f'version: "1.0"\nid: role-{role}\nselect:\n  e: {{entity: {{value_pattern: "^(customer|flow|s[0-9])"}}}}\n  o: {{operation: {{op: DELETE, imperative: true}}}}\nwhere:\n  - uses: {{operation: o, entity: e, role: {role}}}\n')
-        part = evaluate.evaluate(rule, facts).select("rule_id", "artifact_id", "status", _joined("matched_entity_ids"))
-        out = part if out is None else out.union(part)
-    return out
+    text = 'version: "1.0"\nid: role-{role}\nselect:\n  e: {{entity: {{value_pattern: "^(customer|flow|s[0-9])"}}}}\n  o: {{operation: {{op: DELETE, imperative: true}}}}\nwhere:\n  - uses: {{operation: o, entity: e, role: {role}}}\n'
+    every = [rules.read_rule_text(text.format(role=role)) for role in ("actor", "input", "output", "destination", "any")]
+    return evaluate.evaluate_all(every, order_facts(spark, sf_dir)).select("rule_id", "artifact_id", "status", _joined("matched_entity_ids"))
 
 
 def decoded_from(spark, sf_dir):
