@@ -68,21 +68,24 @@ class Model:
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float, epochs: int = 20) -> np.ndarray:
-    """Weights of the linear hinge-loss model over scaled indicators; the last one is the bias."""
-    w, alpha = np.zeros(len(scale) + 1), np.zeros(len(y))
-    rows = [np.append(r, len(scale)) for r in rows]
+    """Weights of the linear hinge-loss model over scaled indicators; the last one is the bias.
+
+    A row's indexes and values are made where it is visited: those of all rows at once are several times what the rows take.
+    """
+    w, alpha, last = np.zeros(len(scale) + 1), np.zeros(len(y)), len(scale)
     scale = np.append(scale, 1.0)
-    values = [scale[r] for r in rows]
-    square = np.array([v @ v for v in values])
+    square = np.array([v @ v for v in (scale[np.append(r, last)] for r in rows)])
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            g = y[i] * (w[rows[i]] @ values[i]) - 1
+            row = np.append(rows[i], last)
+            values = scale[row]
+            g = y[i] * (w[row] @ values) - 1
             new = min(max(alpha[i] - g / square[i], 0.0), cost)
             if new != alpha[i]:
                 moved = max(moved, abs(new - alpha[i]))
-                w[rows[i]] += (new - alpha[i]) * y[i] * values[i]
+                w[row] += (new - alpha[i]) * y[i] * values
                 alpha[i] = new
         if moved < 1e-4 * cost:
             break
@@ -148,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
 
     def place(batches):
         for b in batches:
-            ids = [sorted(known.value[g] for g in one if g in known.value) for one in b.column(1).to_pylist()]
+            ids = [sorted(known.value[g] for g in one.as_py() if g in known.value) for one in b.column(1)]  # a row's n-grams at a time
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, schema2[1].type)], schema=schema2)
 
     ones = labels.filter(F.col(label).isin(0, 1) & ~held_out(key, parts, rest)).agg(F.avg(label)).first()[0]
@@ -164,7 +167,7 @@ def _learnt(got: pa.Table, index: dict[str, int], share: float) -> Model:
     ids, marks = [r.values.to_numpy() for r in got.column(1)], got.column(0).to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (marks[i], ids[i].astype(">i4").tobytes()))  # by value, whatever the tasks' order
     y = np.array([1 if marks[i] else -1 for i in order])
-    return fit([ids[i].astype(np.int64) for i in order], y, sorted(index, key=index.__getitem__), share)
+    return fit([ids[i] for i in order], y, sorted(index, key=index.__getitem__), share)
 
 
 def with_scores(docs: DataFrame, model: Model, cutoff: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
